@@ -17,14 +17,17 @@ def aggregate(
     measures: dict[str, Column],
     distinct: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Group ``df`` and count distinct columns beside the other measures.
+    """Group ``df`` into few groups and count distinct columns beside many other measures.
 
-    Mixing COUNT(DISTINCT) with sums makes Spark carry every sum's buffer in a
+    COUNT(DISTINCT) among sums makes Spark carry the buffer of every sum in a
     shuffle row per distinct value, and several distincts also multiply the
     input. Here each distinct count reads only its own columns and shuffles
     bare (group, value) pairs, first by pair, so that one huge group is spread
     over all tasks; the sums combine map-side. The per-group results are then
     stacked and folded to one row, which also keeps NULL groups together.
+
+    With many groups of few rows, or a single small measure, Spark's own
+    ``count_distinct`` shuffles less; those analyses use it directly.
     """
     by = list(by)
     base = df.groupBy(*by).agg(*[m.alias(name) for name, m in measures.items()])
@@ -41,6 +44,21 @@ def aggregate(
     return stacked.groupBy(*by).agg(*[F.max(c).alias(c) for c in [*measures, *distinct]])
 
 
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if the optimizer knows it to be at most 64 MB.
+
+    A few narrow columns of some million providers pass; the session's default
+    threshold of 10 MB would send every claim through a shuffle for them. Above
+    the limit, or where only an estimate multiplied through a join exists, the
+    join stays a shuffle join, whose skewed keys Spark splits at run time.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on group keys under which NULL matches NULL, as it does in GROUP BY.
 

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimhound.functions.grouping import (
-    aggregate,
     asc,
     desc,
     join_groups,
     rows_of_groups,
+    small_side,
 )
 from claimhound.functions.measures import (
     dec,
@@ -43,15 +43,13 @@ def crowded_days(claims: DataFrame, min_claims: int = 10, n: int = 30) -> DataFr
         .limit(n)
     )
     return (
-        aggregate(
-            rows_of_groups(claims, busiest, day),
-            day,
-            {
-                "Claims_That_Day": rows(),
-                "Daily_Billed": dec(F.sum("Billed_Amount"), 2),
-                "Fraud_That_Day": fraud_claims(),
-            },
-            distinct={"Patients_That_Day": "Patient_ID"},
+        rows_of_groups(claims, busiest, day)
+        .groupBy(*day)
+        .agg(
+            rows().alias("Claims_That_Day"),
+            F.count_distinct("Patient_ID").alias("Patients_That_Day"),
+            dec(F.sum("Billed_Amount"), 2).alias("Daily_Billed"),
+            fraud_claims().alias("Fraud_That_Day"),
         )
         .withColumn(
             "Claims_Per_Patient", per(F.col("Claims_That_Day"), F.col("Patients_That_Day"))
@@ -75,11 +73,10 @@ def patient_rings(claims: DataFrame, min_providers: int = 5, n: int = 30) -> Dat
     """
     order = [*desc("Unique_Providers", "Total_Billed_K"), *asc(*PATIENT)]
     top = (
-        aggregate(
-            claims,
-            PATIENT,
-            {"Total_Billed_K": thousands(F.sum("Billed_Amount"))},
-            distinct={"Unique_Providers": "Provider_ID"},
+        claims.groupBy(*PATIENT)
+        .agg(
+            F.count_distinct("Provider_ID").alias("Unique_Providers"),
+            thousands(F.sum("Billed_Amount")).alias("Total_Billed_K"),
         )
         .filter(F.col("Unique_Providers") >= min_providers)
         .orderBy(*order)
@@ -93,15 +90,12 @@ def patient_rings(claims: DataFrame, min_providers: int = 5, n: int = 30) -> Dat
         .groupBy(*PATIENT)
         .agg(F.expr("listagg(part, ' | ') WITHIN GROUP (ORDER BY Fraud_Type)").alias("Fraud_Types"))
     )
-    measured = aggregate(
-        theirs,
-        PATIENT,
-        {
-            "Total_Claims": rows(),
-            "Fraud_Claims": fraud_claims(),
-            "Total_Billed_K": thousands(F.sum("Billed_Amount")),
-        },
-        distinct={"Unique_Providers": "Provider_ID", "Insurers_Used": "Insurer"},
+    measured = theirs.groupBy(*PATIENT).agg(
+        rows().alias("Total_Claims"),
+        F.count_distinct("Provider_ID").alias("Unique_Providers"),
+        F.count_distinct("Insurer").alias("Insurers_Used"),
+        fraud_claims().alias("Fraud_Claims"),
+        thousands(F.sum("Billed_Amount")).alias("Total_Billed_K"),
     )
     return (
         join_groups(measured, lists, PATIENT, "left")
@@ -143,7 +137,7 @@ def billing_outliers(claims: DataFrame, sigmas: int = 2) -> DataFrame:
     limit = total / n + sigmas * F.sqrt(F.greatest(variance, F.lit(0.0)))
     limits = write_once(stats.select(*group, "n", "total", limit.alias("ucl")), "cpt-limits")
     # Codes and specialties that are NULL match nothing; a NULL description still does.
-    cl, li = claims.alias("c"), limits.alias("l")
+    cl, li = claims.alias("c"), small_side(limits).alias("l")
     matched = (
         (F.col("c.CPT_Code") == F.col("l.CPT_Code"))
         & (F.col("c.Specialty") == F.col("l.Specialty"))

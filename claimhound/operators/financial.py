@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import asc, desc
+from claimhound.functions.grouping import asc, desc, small_side
 from claimhound.functions.measures import (
     amount_percent,
     dec,
@@ -61,7 +61,7 @@ def largest_fraud_claims(
     facts = registry.select("Provider_ID", "Is_Fraudulent", "License_Valid")
     found = (
         claims.filter(is_fraud() & (F.col("Billed_Amount") > min_billed))
-        .join(facts, "Provider_ID")
+        .join(small_side(facts), "Provider_ID")
         .select(
             "Claim_ID",
             "Claim_Date",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import desc
+from claimhound.functions.grouping import desc, small_side
 from claimhound.functions.measures import (
     amount_where,
     dec,
@@ -86,7 +86,7 @@ def dashboard(claims: DataFrame, registry: DataFrame, critical_score: int = 70)
     )
     patients = (
         claims.select("Provider_ID", "Patient_ID")
-        .join(facts, "Provider_ID", "left_semi")
+        .join(small_side(facts), "Provider_ID", "left_semi")
         .agg(F.count_distinct("Patient_ID").alias("Unique_Patients"))
     )
     # Two one-row frames side by side, through stacking rather than a join.

@@ -72,16 +72,17 @@ def repeat_fraud(claims: DataFrame, min_fraud: int = 3, n: int = 20) -> DataFram
         .orderBy(*order)
         .limit(n)
     )
-    measured = aggregate(
-        rows_of_groups(claims, top, PATIENT),
-        PATIENT,
-        {
-            "Total_Claims": rows(),
-            "Fraud_Claims": fraud_claims(),
-            "Total_Billed_K": thousands(F.sum("Billed_Amount")),
-            "Fraud_Paid_K": thousands(fraud_paid()),
-        },
-        distinct={"Providers_Seen": "Provider_ID", "Insurers_Used": "Insurer"},
+    measured = (
+        rows_of_groups(claims, top, PATIENT)
+        .groupBy(*PATIENT)
+        .agg(
+            rows().alias("Total_Claims"),
+            fraud_claims().alias("Fraud_Claims"),
+            F.count_distinct("Provider_ID").alias("Providers_Seen"),
+            F.count_distinct("Insurer").alias("Insurers_Used"),
+            thousands(F.sum("Billed_Amount")).alias("Total_Billed_K"),
+            thousands(fraud_paid()).alias("Fraud_Paid_K"),
+        )
     )
     lists = (
         rows_of_groups(claims, top, ["Patient_ID"])

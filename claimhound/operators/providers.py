@@ -6,7 +6,7 @@ provider with a third of all claims is one row by then.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimhound.functions.grouping import aggregate, asc, desc, number_rows, with_rank
@@ -96,7 +96,8 @@ def provider_scores(claims: DataFrame) -> DataFrame:
     )
 
 
-RISKIEST_FIRST = [*desc("Fraud_Rate_Pct", "Avg_Risk_Score"), *asc(*PROVIDER)]
+def riskiest_first() -> list[Column]:
+    return [*desc("Fraud_Rate_Pct", "Avg_Risk_Score"), *asc(*PROVIDER)]
 
 
 def hit_list(claims: DataFrame, registry: DataFrame, n: int = 20, critical: int = 80) -> DataFrame:
@@ -113,10 +114,10 @@ def hit_list(claims: DataFrame, registry: DataFrame, n: int = 20, critical: int
         provider_scores(claims)
         .join(facts, "Provider_ID")
         .withColumn("Recommended_Action", action)
-        .orderBy(*RISKIEST_FIRST)
+        .orderBy(*riskiest_first())
         .limit(n)
     )
-    return number_rows(top, "Rank", *RISKIEST_FIRST).orderBy("Rank")
+    return number_rows(top, "Rank", *riskiest_first()).orderBy("Rank")
 
 
 def _claims_per_provider(claims: DataFrame) -> DataFrame:
@@ -197,11 +198,11 @@ def yearly_trend(claims: DataFrame, from_year: int = 2021, n: int = 30) -> DataF
 
 def claims_per_patient(claims: DataFrame, n: int = 30) -> DataFrame:
     return (
-        aggregate(
-            claims,
-            PROVIDER,
-            {"Total_Claims": rows(), "Fraud_Rate_Pct": fraud_rate()},
-            distinct={"Unique_Patients": "Patient_ID"},
+        claims.groupBy(*PROVIDER)
+        .agg(
+            F.count_distinct("Patient_ID").alias("Unique_Patients"),
+            rows().alias("Total_Claims"),
+            fraud_rate().alias("Fraud_Rate_Pct"),
         )
         .withColumn("Claims_Per_Patient", per(F.col("Total_Claims"), F.col("Unique_Patients")))
         .orderBy(*desc("Claims_Per_Patient"), *asc(*PROVIDER))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import asc, desc, number_rows
+from claimhound.functions.grouping import asc, desc, number_rows, small_side
 from claimhound.functions.measures import flag_count, is_fraud
-from claimhound.operators.providers import RISKIEST_FIRST, provider_scores
+from claimhound.operators.providers import provider_scores, riskiest_first
 
 # Points per flag and per registry or claim fact.
 FLAG_POINTS = {
@@ -43,7 +43,7 @@ def score_claims(claims: DataFrame, registry: DataFrame) -> DataFrame:
     total = F.col("Priority_Score")
     facts = registry.select("Provider_ID", "Is_Fraudulent", "License_Valid", "Years_Practice")
     return (
-        claims.join(facts, "Provider_ID")
+        claims.join(small_side(facts), "Provider_ID")
         .select(
             score.alias("Priority_Score"),
             "Claim_ID",
@@ -98,7 +98,7 @@ def intervention_queue(
         .drop("Weekend_Claims")
         .join(facts, "Provider_ID")
         .withColumn("Intervention", intervention)
-        .orderBy(*RISKIEST_FIRST)
+        .orderBy(*riskiest_first())
         .limit(n)
     )
-    return number_rows(top, "Queue_Position", *RISKIEST_FIRST).orderBy("Queue_Position")
+    return number_rows(top, "Queue_Position", *riskiest_first()).orderBy("Queue_Position")

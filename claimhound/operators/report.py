@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import aggregate, asc, desc
+from claimhound.functions.grouping import asc, desc, small_side
 from claimhound.functions.measures import (
     amount_percent,
     dec,
@@ -123,7 +123,7 @@ def peer_benchmark(claims: DataFrame) -> DataFrame:
     own = dec(F.col("billed") / F.nullif(F.col("n"), F.lit(0)), 2, 12)
     peer = dec(F.col("peer_billed") / F.nullif(F.col("peer_n"), F.lit(0)), 2, 12)
     return (
-        providers.join(peers, F.col("Specialty").eqNullSafe(F.col("peer_specialty")))
+        providers.join(small_side(peers), F.col("Specialty").eqNullSafe(F.col("peer_specialty")))
         .select(
             *NAMED,
             "Claims",
@@ -151,11 +151,11 @@ def patient_mills(
     """Many claims from few patients. No threshold is given anywhere, so both are parameters."""
     density = per(F.col("Total_Claims"), F.col("Unique_Patients"))
     return (
-        aggregate(
-            claims,
-            NAMED,
-            {"Total_Claims": rows(), "Fraud_Rate_Pct": fraud_rate()},
-            distinct={"Unique_Patients": "Patient_ID"},
+        claims.groupBy(*NAMED)
+        .agg(
+            F.count_distinct("Patient_ID").alias("Unique_Patients"),
+            rows().alias("Total_Claims"),
+            fraud_rate().alias("Fraud_Rate_Pct"),
         )
         .withColumn("Claims_Per_Patient", density)
         .filter(
@@ -266,7 +266,7 @@ def weekend_known_providers(claims: DataFrame, registry: DataFrame) -> DataFrame
     known = registry.filter("Is_Fraudulent = 1").select("Provider_ID")
     return (
         claims.filter("Flag_Weekend = 1")
-        .join(known, "Provider_ID", "left_semi")
+        .join(small_side(known), "Provider_ID", "left_semi")
         .select(*_CLAIM, F.col("Billed_Amount").alias("Billed"))
     )
 

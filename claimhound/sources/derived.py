@@ -2,8 +2,9 @@
 
 Join order matters at scale: orders, customer and nation are joined first, on
 four narrow columns, so that line items are shuffled once (on the order key)
-and not a second time on the customer key. No side is hinted; Spark broadcasts
-a side only when its known size is under the session's threshold.
+and not a second time on the customer key. Tables are joined one by one rather
+than as joined pairs, because the size of a file is known to the optimizer and
+the size of a join is not; only a known small side is broadcast.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimhound.functions.grouping import small_side
 from claimhound.sources.schema import CLAIMS, REGISTRY, conform
 
 SOURCE_TABLES = ["lineitem", "orders", "customer", "supplier", "nation"]
@@ -26,13 +28,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def _spread(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Use every core on an input that has fewer splits than cores.
+def _spread(joined: DataFrame, lines: DataFrame) -> DataFrame:
+    """Use every core on line items that come in fewer splits than there are cores.
 
-    A table of cluster size has far more splits than that and is left alone.
+    A table of cluster size has far more splits than that, keeps the
+    partitioning of its joins and is not shuffled again.
     """
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    if lines.rdd.getNumPartitions() >= cores:
+        return joined
+    return joined.repartition(cores, "l_orderkey", "l_linenumber")
 
 
 def derive_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,27 +58,24 @@ def derive_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derive_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    patients = (
-        _table(spark, sf_dir, "customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .selectExpr("c_custkey", "n_name AS Patient_State")
-    )
+    patient_nation = nation.selectExpr("n_nationkey AS p_nation", "n_name AS Patient_State")
+    provider_nation = nation.selectExpr("n_nationkey AS s_nation", "n_name AS Provider_State")
+    customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    supplier = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     visits = (
         _table(spark, sf_dir, "orders")
         .select("o_orderkey", "o_custkey", "o_orderpriority")
-        .join(patients, F.col("o_custkey") == F.col("c_custkey"))
-        .drop("c_custkey")
-    )
-    providers = (
-        _table(spark, sf_dir, "supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .selectExpr("s_suppkey", "s_name", "n_name AS Provider_State")
+        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(patient_nation, F.col("c_nationkey") == F.col("p_nation"))
+        .drop("c_custkey", "c_nationkey", "p_nation")
     )
-    lines = _spread(_table(spark, sf_dir, "lineitem"), spark)
-    joined = lines.join(visits, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        providers, F.col("l_suppkey") == F.col("s_suppkey")
+    lines = _table(spark, sf_dir, "lineitem")
+    joined = (
+        lines.join(visits, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(small_side(supplier), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(provider_nation, F.col("s_nationkey") == F.col("s_nation"))
     )
-    return conform(_claim_columns(joined), CLAIMS)
+    return conform(_claim_columns(_spread(joined, lines)), CLAIMS)
 
 
 def _claim_columns(joined: DataFrame) -> DataFrame:
