@@ -53,14 +53,41 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SHUFFLE_BYTES_PER_TASK = 512 * 1024 * 1024
+MOST_SHUFFLE_TASKS = 32768
+
+
+def size_shuffles(spark: SparkSession, sf_dir: str) -> None:
+    """Start shuffles with enough partitions for the source data, unless the session says how many.
+
+    Adaptive execution merges partitions that turn out small but never splits
+    an ordinary one, so the number it starts from has to suit the largest
+    shuffle. Small data keeps the session's ``spark.sql.shuffle.partitions``.
+    """
+    setting = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if spark.conf.get(setting, None):
+        return
+    total = sum(
+        _file_system(spark, path).getContentSummary(path).getLength()
+        for path in _source_paths(spark, sf_dir)
+    )
+    wanted = min(total // SHUFFLE_BYTES_PER_TASK, MOST_SHUFFLE_TASKS)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(setting, wanted)
+
+
+def _source_paths(spark: SparkSession, sf_dir: str) -> list:
+    return [spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, t)) for t in SOURCE_TABLES]
+
+
+def _file_system(spark: SparkSession, path):
+    return path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _source_state(spark: SparkSession, sf_dir: str) -> tuple:
     """Length and modification time of the source paths, to notice replaced data."""
-    state = []
-    for name in SOURCE_TABLES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
-        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-        state.append((status.getLen(), status.getModificationTime()))
-    return tuple(state)
+    found = [_file_system(spark, p).getFileStatus(p) for p in _source_paths(spark, sf_dir)]
+    return tuple((status.getLen(), status.getModificationTime()) for status in found)
 
 
 def claims_path(spark: SparkSession, sf_dir: str) -> str | None:
@@ -83,6 +110,7 @@ def _land(spark: SparkSession, sf_dir: str, name: str, derive) -> str | None:
         return None
     key = (shared_folder(spark), sf_dir, name, _source_state(spark, sf_dir))
     if key not in _landed:
+        size_shuffles(spark, sf_dir)
         path = new_folder(spark, name)
         derive(spark, sf_dir).write.parquet(path)
         _landed[key] = path

@@ -45,3 +45,19 @@ def test_without_a_shared_folder_plans_stay_lazy_and_equal(spark, sf_dir, monkey
     monkeypatch.setattr(shared, "shared_folder", lambda spark: None)
     for name in names:
         assert Counter(queries()[name](spark, sf_dir).collect()) == with_folder[name], name
+
+
+def test_shuffles_grow_with_the_source_unless_the_session_decides(spark, sf_dir, monkeypatch):
+    setting = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    shared.size_shuffles(spark, sf_dir)
+    assert spark.conf.get(setting, None) is None
+    monkeypatch.setattr(shared, "SHUFFLE_BYTES_PER_TASK", 10_000)
+    try:
+        shared.size_shuffles(spark, sf_dir)
+        grown = int(spark.conf.get(setting))
+        assert grown > 8
+        monkeypatch.setattr(shared, "SHUFFLE_BYTES_PER_TASK", 1_000)
+        shared.size_shuffles(spark, sf_dir)
+        assert int(spark.conf.get(setting)) == grown
+    finally:
+        spark.conf.unset(setting)
