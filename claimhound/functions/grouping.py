@@ -47,16 +47,40 @@ def aggregate(
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the optimizer knows ``df`` to be at most 64 MB."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= BROADCAST_BYTES
+
+
 def small_side(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if the optimizer knows it to be at most 64 MB.
+    """``df`` marked for broadcast if it is known to be small.
 
     A few narrow columns of some million providers pass; the session's default
     threshold of 10 MB would send every claim through a shuffle for them. Above
     the limit, or where only an estimate multiplied through a join exists, the
     join stays a shuffle join, whose skewed keys Spark splits at run time.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if is_small(df) else df
+
+
+def prune_before_top(
+    rows: DataFrame, facts: DataFrame, key: str, score: Column, n: int, gain: int = 0
+) -> DataFrame:
+    """Drop rows that cannot be among the first n once joined to ``facts``.
+
+    For a facts table too large to broadcast, so that a top-k join does not
+    shuffle every row. The join may only add between 0 and ``gain`` to a row's
+    score. The best rows by own score are looked up first; if n of them have a
+    match, the n-th sets a floor that every row of the result must reach with
+    ``gain`` added. With fewer matches nothing is dropped. Exact either way.
+    """
+    best = rows.select(F.col(key), score.alias("_score")).orderBy(F.desc("_score")).limit(20 * n)
+    matched = facts.select(key).join(F.broadcast(best), key).orderBy(F.desc("_score")).limit(n)
+    floor = matched.agg(
+        F.when(F.count("_score") == n, F.min("_score")).alias("floor")
+    ).scalar()
+    return rows.filter(floor.isNull() | (score + gain >= floor))
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

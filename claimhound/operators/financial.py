@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import asc, desc, small_side
+from claimhound.functions.grouping import asc, desc, is_small, prune_before_top, small_side
 from claimhound.functions.measures import (
     amount_percent,
     dec,
@@ -59,28 +59,27 @@ def largest_fraud_claims(
     claims: DataFrame, registry: DataFrame, min_billed: int = 5000, n: int = 50
 ) -> DataFrame:
     facts = registry.select("Provider_ID", "Is_Fraudulent", "License_Valid")
-    found = (
-        claims.filter(is_fraud() & (F.col("Billed_Amount") > min_billed))
-        .join(small_side(facts), "Provider_ID")
-        .select(
-            "Claim_ID",
-            "Claim_Date",
-            "Provider_Name",
-            "Specialty",
-            "Provider_State",
-            "Patient_ID",
-            "Insurer",
-            "CPT_Description",
-            "Fraud_Type",
-            "Units_Billed",
-            "Units_Rendered",
-            F.col("Billed_Amount").alias("Billed"),
-            F.col("Paid_Amount").alias("Paid"),
-            "Fraud_Risk_Score",
-            "Claim_Status",
-            "Is_Fraudulent",
-            "License_Valid",
-        )
+    large = claims.filter(is_fraud() & (F.col("Billed_Amount") > min_billed))
+    if not is_small(facts):
+        large = prune_before_top(large, facts, "Provider_ID", F.col("Billed_Amount"), n)
+    found = large.join(small_side(facts), "Provider_ID").select(
+        "Claim_ID",
+        "Claim_Date",
+        "Provider_Name",
+        "Specialty",
+        "Provider_State",
+        "Patient_ID",
+        "Insurer",
+        "CPT_Description",
+        "Fraud_Type",
+        "Units_Billed",
+        "Units_Rendered",
+        F.col("Billed_Amount").alias("Billed"),
+        F.col("Paid_Amount").alias("Paid"),
+        "Fraud_Risk_Score",
+        "Claim_Status",
+        "Is_Fraudulent",
+        "License_Valid",
     )
     rest = [c for c in found.columns if c != "Billed"]
     return found.orderBy(*desc("Billed"), *asc(*rest)).limit(n)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import asc, desc, number_rows, small_side
+from claimhound.functions.grouping import (
+    asc,
+    desc,
+    is_small,
+    number_rows,
+    prune_before_top,
+    small_side,
+)
 from claimhound.functions.measures import flag_count, is_fraud
 from claimhound.operators.providers import provider_scores, riskiest_first
 
@@ -22,26 +29,35 @@ FRAUDULENT_PROVIDER_POINTS = 25
 NO_LICENSE_POINTS = 15
 FRAUD_LABEL_POINTS = 30
 SIU, AUDIT, REVIEW = 120, 80, 50
+FACTS = ["Provider_ID", "Is_Fraudulent", "License_Valid", "Years_Practice"]
 
 
-def score_claims(claims: DataFrame, registry: DataFrame) -> DataFrame:
-    """Score every registered claim; stateless, so it also runs on a stream of claims."""
+def points(condition: Column, n: int) -> Column:
+    return F.when(condition, n).otherwise(0)
 
-    def points(condition, n: int):
-        return F.when(condition, n).otherwise(0)
 
+def claim_points() -> Column:
+    """The part of the score that needs no registry."""
     score = F.col("Fraud_Risk_Score")
     for flag, n in FLAG_POINTS.items():
         score = score + F.col(flag) * n
-    score = (
+    return (
         score
         + points(F.col("Billed_Amount") > LARGE_BILL, LARGE_BILL_POINTS)
+        + points(is_fraud(), FRAUD_LABEL_POINTS)
+    )
+
+
+def score_claims(claims: DataFrame, registry: DataFrame) -> DataFrame:
+    """Score every registered claim; stateless, so it also runs on a stream of claims."""
+
+    score = (
+        claim_points()
         + points(F.col("Is_Fraudulent") == 1, FRAUDULENT_PROVIDER_POINTS)
         + points(F.col("License_Valid") == 0, NO_LICENSE_POINTS)
-        + points(is_fraud(), FRAUD_LABEL_POINTS)
     )
     total = F.col("Priority_Score")
-    facts = registry.select("Provider_ID", "Is_Fraudulent", "License_Valid", "Years_Practice")
+    facts = registry.select(*FACTS)
     return (
         claims.join(small_side(facts), "Provider_ID")
         .select(
@@ -75,6 +91,10 @@ def score_claims(claims: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def priority_claims(claims: DataFrame, registry: DataFrame, n: int = 50) -> DataFrame:
+    facts = registry.select(*FACTS)
+    if not is_small(facts):
+        gain = FRAUDULENT_PROVIDER_POINTS + NO_LICENSE_POINTS
+        claims = prune_before_top(claims, facts, "Provider_ID", claim_points(), n, gain)
     scored = score_claims(claims, registry)
     rest = [c for c in scored.columns if c not in ("Priority_Score", "Claim_ID")]
     return scored.orderBy(*desc("Priority_Score"), *asc("Claim_ID", *rest)).limit(n)

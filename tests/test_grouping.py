@@ -5,11 +5,21 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import aggregate, rows_of_groups, small_side, with_rank
+from claimhound.functions import grouping
+from claimhound.functions.grouping import (
+    aggregate,
+    prune_before_top,
+    rows_of_groups,
+    small_side,
+    with_rank,
+)
+from claimhound.operators import financial, queues
 from claimhound.sources.derived import derive_claims
+from claimhound.sources.shared import load_claims, load_registry
 
 
 def test_rank_equals_a_global_window(spark):
@@ -67,6 +77,27 @@ def test_rows_of_groups_matches_null_keys(spark):
     assert [r.v for r in rows_of_groups(df, top, ["a", "b"]).collect()] == [5]
 
 
+@pytest.mark.parametrize("analysis", [queues.priority_claims, financial.largest_fraud_claims])
+def test_pruned_top_claims_equal_unpruned_ones(spark, sf_dir, monkeypatch, analysis):
+    fa, pr = load_claims(spark, sf_dir), load_registry(spark, sf_dir)
+    orphaned = pr.filter("Provider_ID % 5 = 1")
+    plain = [analysis(fa, r).collect() for r in (pr, orphaned)]
+    monkeypatch.setattr(grouping, "BROADCAST_BYTES", -1)
+    pruned = analysis(fa, pr)
+    assert "scalar-subquery" in pruned._jdf.queryExecution().analyzed().toString()
+    assert [pruned.collect(), analysis(fa, orphaned).collect()] == plain
+
+
+def test_pruning_keeps_all_rows_when_the_best_have_no_match(spark):
+    rows = spark.range(3000).selectExpr("id AS k", "CAST(id AS INT) AS s")
+    facts = spark.createDataFrame([(5,), (7,)], "k long")
+    kept = prune_before_top(rows, facts, "k", F.col("s"), 3)
+    assert kept.count() == 3000
+    enough = spark.createDataFrame([(2999,), (2990,), (2000,), (1,)], "k long")
+    kept = prune_before_top(rows, enough, "k", F.col("s"), 2, gain=4)
+    assert kept.count() == 3000 - (2990 - 4)
+
+
 def test_only_a_known_small_side_is_broadcast(spark, sf_dir):
     small = spark.read.parquet(f"{sf_dir}/nation.parquet")
     hinted = small_side(small)._jdf.queryExecution().logical().toString()
