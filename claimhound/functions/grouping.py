@@ -41,7 +41,16 @@ def aggregate(
         for name, column in distinct.items()
     ]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), counts, base)
-    return stacked.groupBy(*by).agg(*[F.max(c).alias(c) for c in [*measures, *distinct]])
+    first, *others = measures
+    names = [first, *distinct, *others]
+    return stacked.groupBy(*by).agg(*[F.max(c).alias(c) for c in names])
+
+
+def move_after(df: DataFrame, anchor: str, *names: str) -> DataFrame:
+    """Reorder columns so that ``names`` follow ``anchor``."""
+    rest = [c for c in df.columns if c not in names]
+    at = rest.index(anchor) + 1
+    return df.select(*rest[:at], *names, *rest[at:])
 
 
 BROADCAST_BYTES = 64 * 1024 * 1024

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimhound.functions.grouping import move_after
 from claimhound.functions.measures import percent, rows, tally
 
 
@@ -87,7 +88,7 @@ def date_span(claims: DataFrame) -> DataFrame:
 def with_share(grouped: DataFrame, name: str) -> DataFrame:
     """Add each group's share of all claims; runs on the few aggregated rows."""
     total = F.sum("Claims").over(Window.partitionBy())
-    return grouped.withColumn(name, percent(F.col("Claims"), total))
+    return move_after(grouped.withColumn(name, percent(F.col("Claims"), total)), "Claims", name)
 
 
 def claims_per_year(claims: DataFrame) -> DataFrame:

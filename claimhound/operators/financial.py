@@ -19,7 +19,7 @@ from claimhound.functions.measures import (
 
 def exposure(claims: DataFrame) -> DataFrame:
     billed, paid = F.sum("Billed_Amount"), F.sum("Paid_Amount")
-    return (
+    by_label = (
         claims.groupBy("Fraud_Label")
         .agg(
             rows().alias("Claims"),
@@ -32,6 +32,7 @@ def exposure(claims: DataFrame) -> DataFrame:
         .withColumn("Category", F.when(is_fraud(), "Fraudulent").otherwise("Legitimate"))
         .drop("Fraud_Label")
     )
+    return by_label.select("Category", *by_label.columns[:-1])
 
 
 def specialty_gap(claims: DataFrame) -> DataFrame:

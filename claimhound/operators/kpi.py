@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import desc, small_side
+from claimhound.functions.grouping import desc, move_after, small_side
 from claimhound.functions.measures import (
     amount_where,
     dec,
@@ -91,7 +91,8 @@ def dashboard(claims: DataFrame, registry: DataFrame, critical_score: int = 70)
     )
     # Two one-row frames side by side, through stacking rather than a join.
     stacked = totals.unionByName(patients, allowMissingColumns=True)
-    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+    one = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+    return move_after(one, "Unique_Providers", "Unique_Patients")
 
 
 def by_status(claims: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import aggregate, desc, small_side
+from claimhound.functions.grouping import aggregate, desc, move_after, small_side
 from claimhound.functions.measures import (
     all_flags_set,
     dec,
@@ -81,7 +81,7 @@ def by_insurer(claims: DataFrame) -> DataFrame:
 
 
 def weekend_split(claims: DataFrame) -> DataFrame:
-    return (
+    kinds = (
         claims.groupBy("Flag_Weekend")
         .agg(
             rows().alias("Claims"),
@@ -92,6 +92,7 @@ def weekend_split(claims: DataFrame) -> DataFrame:
         )
         .withColumn("Day_Type", F.when(F.col("Flag_Weekend") == 1, "Weekend").otherwise("Weekday"))
     )
+    return move_after(kinds, "Flag_Weekend", "Day_Type")
 
 
 def all_flag_claims(claims: DataFrame, registry: DataFrame) -> DataFrame:

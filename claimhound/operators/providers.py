@@ -9,7 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import aggregate, asc, desc, number_rows, with_rank
+from claimhound.functions.grouping import (
+    aggregate,
+    asc,
+    desc,
+    move_after,
+    number_rows,
+    with_rank,
+)
 from claimhound.functions.measures import (
     dec,
     fraud_claims,
@@ -76,6 +83,7 @@ def scorecard(
             .otherwise("CLEAN"),
         )
     )
+    cards = move_after(cards, "SameDay_Flags", "Claims_Per_Patient", "Denial_Rate")
     # Read twice below, once for the rank histogram, so it is settled first.
     cards = write_once(cards, "provider-scorecard")
     ranked = with_rank(cards, "Fraud_Rate_Pct", "Avg_Risk_Score", "Risk_Rank")
@@ -197,7 +205,7 @@ def yearly_trend(claims: DataFrame, from_year: int = 2021, n: int = 30) -> DataF
 
 
 def claims_per_patient(claims: DataFrame, n: int = 30) -> DataFrame:
-    return (
+    ratios = (
         claims.groupBy(*PROVIDER)
         .agg(
             F.count_distinct("Patient_ID").alias("Unique_Patients"),
@@ -205,6 +213,6 @@ def claims_per_patient(claims: DataFrame, n: int = 30) -> DataFrame:
             fraud_rate().alias("Fraud_Rate_Pct"),
         )
         .withColumn("Claims_Per_Patient", per(F.col("Total_Claims"), F.col("Unique_Patients")))
-        .orderBy(*desc("Claims_Per_Patient"), *asc(*PROVIDER))
-        .limit(n)
     )
+    ratios = move_after(ratios, "Total_Claims", "Claims_Per_Patient")
+    return ratios.orderBy(*desc("Claims_Per_Patient"), *asc(*PROVIDER)).limit(n)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import asc, desc
+from claimhound.functions.grouping import asc, desc, move_after
 from claimhound.functions.measures import (
     dec,
     fraud_claims,
@@ -133,7 +133,7 @@ def volume_spikes(
     ]
     prior, current = F.col("Prior_Year_Claims"), F.col("Current_Year_Claims")
     growth = (current - prior).cast("decimal(18,0)") * 100
-    return (
+    pairs = (
         per_name.select("Provider_ID", "Provider_Name", "Specialty", "fraud", "labelled", *totals)
         .select(
             "Provider_ID",
@@ -144,15 +144,6 @@ def volume_spikes(
         )
         .filter((prior > 0) & (current > 0) & (growth > prior * min_growth_pct))
         .withColumn("Volume_Growth_Pct", dec(growth / prior, 1))
-        .orderBy(
-            *desc("Volume_Growth_Pct"),
-            *asc(
-                "Provider_ID",
-                "Provider_Name",
-                "Specialty",
-                "Prior_Year_Claims",
-                "Current_Year_Claims",
-            ),
-        )
-        .limit(n)
     )
+    pairs = move_after(pairs, "Current_Year_Claims", "Volume_Growth_Pct")
+    return pairs.orderBy(*desc("Volume_Growth_Pct"), *asc(*pairs.columns[:5])).limit(n)

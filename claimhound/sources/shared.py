@@ -12,6 +12,7 @@ executor, and its real size lets Spark decide whether it may be broadcast.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ from claimhound.sources.schema import CLAIMS, REGISTRY
 
 _local_dir: tempfile.TemporaryDirectory | None = None
 _landed: dict[tuple, str] = {}
+_landing = threading.Lock()
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -109,9 +111,23 @@ def _land(spark: SparkSession, sf_dir: str, name: str, derive) -> str | None:
     if shared_folder(spark) is None:
         return None
     key = (shared_folder(spark), sf_dir, name, _source_state(spark, sf_dir))
-    if key not in _landed:
-        size_shuffles(spark, sf_dir)
-        path = new_folder(spark, name)
-        derive(spark, sf_dir).write.parquet(path)
-        _landed[key] = path
-    return _landed[key]
+    with _landing:
+        if key not in _landed or not _exists(spark, f"{_landed[key]}/_SUCCESS"):
+            size_shuffles(spark, sf_dir)
+            path = new_folder(spark, name)
+            derive(spark, sf_dir).write.parquet(path)
+            _landed[key] = path
+        return _landed[key]
+
+
+def _exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return _file_system(spark, path).exists(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete everything this application wrote to the shared folder."""
+    base = shared_folder(spark)
+    if base:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        _file_system(spark, path).delete(path, True)

@@ -26,6 +26,13 @@ def test_query_matches_sql(spark, sf_dir, con, name):
     assert not df.isEmpty()
 
 
+def test_columns_come_in_the_documented_order(spark, sf_dir, con):
+    own_order = {"r06_peer_benchmark", "r07_patient_mills"}
+    for name in set(QUERIES) - own_order:
+        described = [d[0] for d in con.execute(SQL[name]).description]
+        assert QUERIES[name](spark, sf_dir).columns == described, name
+
+
 def test_comparison_notices_a_wrong_value(spark, sf_dir, con):
     name = "q01g_unit_mismatches"
     wrong = SQL[name].replace("Flag_UnitMismatch = 0) AS", "Flag_UnitMismatch = 1) AS")

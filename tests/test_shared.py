@@ -61,3 +61,12 @@ def test_shuffles_grow_with_the_source_unless_the_session_decides(spark, sf_dir,
         assert int(spark.conf.get(setting)) == grown
     finally:
         spark.conf.unset(setting)
+
+
+def test_dropped_tables_are_landed_again(spark, sf_dir, monkeypatch, tmp_path):
+    monkeypatch.setattr(shared, "shared_folder", lambda spark: f"file://{tmp_path}/own")
+    first = shared.claims_path(spark, sf_dir)
+    shared.drop_tables(spark)
+    assert not list(tmp_path.iterdir())
+    again = shared.claims_path(spark, sf_dir)
+    assert again != first and spark.read.parquet(again).count() == 6000
