@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from claimhound.sources.schema import FLAGS
 
 _WHOLE = "decimal(18,0)"
+_TOTAL = "decimal(22,2)"
 
 
 def dec(value: Column, scale: int, precision: int = 18) -> Column:
@@ -51,8 +52,13 @@ def percent(part: Column, whole: Column, scale: int = 2) -> Column:
 
 
 def amount_percent(part: Column, whole: Column, scale: int = 1) -> Column:
-    """Share of two money sums."""
-    return dec(part * 100 / F.nullif(whole, F.lit(0).cast("decimal(1,0)")), scale, 12)
+    """Share of two money sums.
+
+    Sums of sums carry up to 32 digits, which would leave the quotient six
+    decimals; 22 digits hold any total and leave it twelve.
+    """
+    part, whole = part.cast(_TOTAL), whole.cast(_TOTAL)
+    return dec(part * 100 / F.nullif(whole, F.lit(0).cast(_TOTAL)), scale, 12)
 
 
 def per(part: Column, whole: Column, scale: int = 2) -> Column:

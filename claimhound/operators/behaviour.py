@@ -25,6 +25,7 @@ from claimhound.functions.measures import (
 )
 from claimhound.sources.shared import write_once
 
+SEPARATOR = " | "
 PATIENT = ["Patient_ID", "Patient_Age", "Patient_Gender", "Patient_State"]
 
 
@@ -60,8 +61,8 @@ def crowded_days(claims: DataFrame, min_claims: int = 10, n: int = 30) -> DataFr
 
 def _repeated(value: str, count: str) -> Column:
     """``value | value | ...`` for a value counted ``count`` times."""
-    times = F.array_repeat(F.col(value), F.col(count).cast("int"))
-    return F.array_join(times, " | ")
+    separated = F.repeat(F.concat(F.lit(SEPARATOR), value), F.col(count).cast("int"))
+    return F.substr(separated, F.lit(len(SEPARATOR) + 1))
 
 
 def patient_rings(claims: DataFrame, min_providers: int = 5, n: int = 30) -> DataFrame:
