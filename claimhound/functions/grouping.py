@@ -161,7 +161,7 @@ def with_rank(df: DataFrame, first: str, second: str, name: str) -> DataFrame:
         ).alias("_beside"),
     )
     ranks = within.join(higher_first, F.col("_f").eqNullSafe(F.col("_first"))).select(
-        "_f", "_s", (F.col("_above") + F.col("_beside") + 1).cast("int").alias(name)
+        "_f", "_s", (F.col("_above") + F.col("_beside") + 1).alias(name)
     )
     matched = F.col(first).eqNullSafe(F.col("_f")) & F.col(second).eqNullSafe(F.col("_s"))
     return df.join(ranks, matched).drop("_f", "_s")

@@ -16,7 +16,6 @@ from claimhound.functions.measures import (
     dec,
     fraud_claims,
     fraud_rate,
-    mean_amount,
     per,
     percent,
     raw_fraud_rate,

@@ -12,7 +12,6 @@ from claimhound.functions.measures import (
     fraud_rate,
     mean_score,
     millions,
-    percent,
     raw_fraud_rate,
     rows,
     thousands,

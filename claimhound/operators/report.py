@@ -22,7 +22,6 @@ from claimhound.functions.measures import (
 )
 from claimhound.sources.shared import write_once
 
-
 NAMED = ["Provider_ID", "Provider_Name", "Specialty"]
 
 # Share of paid money above which a state is escalated, share a

@@ -158,7 +158,10 @@ FROM fa GROUP BY 1""",
 }
 
 PROVIDER = "fa.Provider_ID, fa.Provider_Name, fa.Specialty, fa.Provider_State"
-RISKIEST = "Fraud_Rate_Pct DESC, Avg_Risk_Score DESC, Provider_ID, Provider_Name, Specialty, Provider_State"
+RISKIEST = (
+    "Fraud_Rate_Pct DESC, Avg_Risk_Score DESC, ps.Provider_ID, ps.Provider_Name,"
+    " ps.Specialty, Provider_State"
+)
 
 PROVIDER_SCORES = f""", ps AS (
 SELECT {PROVIDER}, COUNT(*) AS Total_Claims, {FRAUD} AS Fraud_Claims, {RATE} AS Fraud_Rate_Pct,
@@ -184,10 +187,10 @@ SELECT ps.*, Is_Fraudulent, License_Valid, Years_Practice, Network_Status,
        CASE WHEN Fraud_Rate_Pct >= 80 THEN 'CRITICAL' WHEN Fraud_Rate_Pct >= 50 THEN 'HIGH'
             WHEN Fraud_Rate_Pct >= 25 THEN 'MODERATE' WHEN Fraud_Rate_Pct >= 10 THEN 'LOW'
             ELSE 'CLEAN' END AS Risk_Band,
-       CAST(RANK() OVER (ORDER BY Fraud_Rate_Pct DESC, Avg_Risk_Score DESC) AS INTEGER) AS Risk_Rank
+       RANK() OVER (ORDER BY Fraud_Rate_Pct DESC, Avg_Risk_Score DESC) AS Risk_Rank
 FROM ps JOIN pr ON ps.Provider_ID = pr.Provider_ID""",
     "q04b_hit_list": f"""{PROVIDER_SCORES}
-SELECT CAST(ROW_NUMBER() OVER (ORDER BY {RISKIEST.replace("Provider_ID", "ps.Provider_ID").replace("Provider_Name", "ps.Provider_Name").replace("Specialty", "ps.Specialty")}) AS INTEGER) AS Rank,
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY {RISKIEST}) AS INTEGER) AS Rank,
        ps.*, Is_Fraudulent, License_Valid, Years_Practice,
        CASE WHEN Is_Fraudulent = 1 AND License_Valid = 1 THEN 'REVOKE LICENSE + AUDIT'
             WHEN Fraud_Rate_Pct >= 80 THEN 'IMMEDIATE INVESTIGATION'

@@ -19,7 +19,7 @@ from claimhound.plans.oracle.base import (
     signed_hu,
     thousands,
 )
-from claimhound.plans.oracle.core import FLAG_SUM, PROVIDER, PROVIDER_SCORES
+from claimhound.plans.oracle.core import FLAG_SUM, PROVIDER, PROVIDER_SCORES, RISKIEST
 
 PAY_RATE = hu(f"{CENTS_PAID} * 100", f"NULLIF({CENTS_BILLED}, 0)", 1)
 GAP = f"({CENTS_BILLED} - {CENTS_PAID})"
@@ -231,8 +231,7 @@ ORDER BY Priority_Score DESC, Claim_ID, Claim_Date, Provider_ID, Provider_Name,
          Provider_State, Patient_ID, Insurer, Fraud_Type NULLS FIRST, Billed, Paid NULLS FIRST
 LIMIT 50""",
     "q13b_intervention_queue": f"""{PROVIDER_SCORES}
-SELECT CAST(ROW_NUMBER() OVER (ORDER BY Fraud_Rate_Pct DESC, Avg_Risk_Score DESC, ps.Provider_ID,
-         ps.Provider_Name, ps.Specialty, Provider_State) AS INTEGER) AS Queue_Position,
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY {RISKIEST}) AS INTEGER) AS Queue_Position,
        ps.* EXCLUDE (Weekend_Claims), Is_Fraudulent, License_Valid, Network_Status,
        CASE WHEN Is_Fraudulent = 1 AND License_Valid = 1
               THEN 'LICENSE REVOCATION + CRIMINAL REFERRAL'
