@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimhound.functions.bands import AGE_BELOW, AGE_REST, banded
 from claimhound.functions.grouping import aggregate, asc, desc, join_groups, rows_of_groups
 from claimhound.functions.measures import (
     fraud_claims,
@@ -20,14 +23,7 @@ from claimhound.operators.behaviour import PATIENT
 
 def by_age_group(claims: DataFrame) -> DataFrame:
     """Five age bands; an unknown age falls into the last."""
-    age = F.col("Patient_Age")
-    band = (
-        F.when(age < 18, "0-17  Minor")
-        .when(age < 35, "18-34 Young Adult")
-        .when(age < 50, "35-49 Middle Age")
-        .when(age < 65, "50-64 Pre-Senior")
-        .otherwise("65+ Elderly")
-    )
+    band = banded(F.col("Patient_Age"), operator.lt, AGE_BELOW, AGE_REST)
     return aggregate(
         claims.withColumn("Age_Group", band),
         ["Age_Group"],

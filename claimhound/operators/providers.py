@@ -6,9 +6,12 @@ provider with a third of all claims is one row by then.
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimhound.functions.bands import banded
 from claimhound.functions.grouping import (
     aggregate,
     asc,
@@ -31,6 +34,10 @@ from claimhound.functions.measures import (
 )
 from claimhound.sources.shared import write_once
 
+# Actions of the hit list.
+REVOKE = "REVOKE LICENSE + AUDIT"
+INVESTIGATE = "IMMEDIATE INVESTIGATION"
+AUDIT = "PRIORITY AUDIT"
 PROVIDER = ["Provider_ID", "Provider_Name", "Specialty", "Provider_State"]
 
 
@@ -66,7 +73,7 @@ def scorecard(
     facts = registry.select(
         "Provider_ID", "Is_Fraudulent", "License_Valid", "Years_Practice", "Network_Status"
     )
-    rate = F.col("Fraud_Rate_Pct")
+    bands = [(critical, "CRITICAL"), (high, "HIGH"), (moderate, "MODERATE"), (low, "LOW")]
     cards = (
         stats.join(facts, "Provider_ID")
         .withColumn("Claims_Per_Patient", per(F.col("Total_Claims"), F.col("Unique_Patients")))
@@ -75,12 +82,7 @@ def scorecard(
         )
         .drop("Denied")
         .withColumn(
-            "Risk_Band",
-            F.when(rate >= critical, "CRITICAL")
-            .when(rate >= high, "HIGH")
-            .when(rate >= moderate, "MODERATE")
-            .when(rate >= low, "LOW")
-            .otherwise("CLEAN"),
+            "Risk_Band", banded(F.col("Fraud_Rate_Pct"), operator.ge, bands, "CLEAN")
         )
     )
     cards = move_after(cards, "SameDay_Flags", "Claims_Per_Patient", "Denial_Rate")
@@ -113,10 +115,10 @@ def hit_list(claims: DataFrame, registry: DataFrame, n: int = 20, critical: int
     action = (
         F.when(
             (F.col("Is_Fraudulent") == 1) & (F.col("License_Valid") == 1),
-            "REVOKE LICENSE + AUDIT",
+            REVOKE,
         )
-        .when(F.col("Fraud_Rate_Pct") >= critical, "IMMEDIATE INVESTIGATION")
-        .otherwise("PRIORITY AUDIT")
+        .when(F.col("Fraud_Rate_Pct") >= critical, INVESTIGATE)
+        .otherwise(AUDIT)
     )
     top = (
         provider_scores(claims)

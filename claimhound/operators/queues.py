@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimhound.functions.bands import ACTION_ABOVE, ACTION_REST, banded
 from claimhound.functions.grouping import (
     asc,
     desc,
@@ -28,7 +31,11 @@ LARGE_BILL_POINTS, LARGE_BILL = 20, 10000
 FRAUDULENT_PROVIDER_POINTS = 25
 NO_LICENSE_POINTS = 15
 FRAUD_LABEL_POINTS = 30
-SIU, AUDIT, REVIEW = 120, 80, 50
+# Interventions of the provider queue.
+REFERRAL = "LICENSE REVOCATION + CRIMINAL REFERRAL"
+SIU = "IMMEDIATE SIU INVESTIGATION"
+FULL_AUDIT = "FULL AUDIT — Billing Review"
+MONITORING = "ENHANCED MONITORING"
 FACTS = ["Provider_ID", "Is_Fraudulent", "License_Valid", "Years_Practice"]
 
 
@@ -56,7 +63,6 @@ def score_claims(claims: DataFrame, registry: DataFrame) -> DataFrame:
         + points(F.col("Is_Fraudulent") == 1, FRAUDULENT_PROVIDER_POINTS)
         + points(F.col("License_Valid") == 0, NO_LICENSE_POINTS)
     )
-    total = F.col("Priority_Score")
     facts = registry.select(*FACTS)
     return (
         claims.join(small_side(facts), "Provider_ID")
@@ -82,10 +88,7 @@ def score_claims(claims: DataFrame, registry: DataFrame) -> DataFrame:
         )
         .withColumn(
             "Action_Required",
-            F.when(total > SIU, "IMMEDIATE ACTION — Refer to SIU")
-            .when(total > AUDIT, "URGENT — Full Audit Required")
-            .when(total > REVIEW, "SCHEDULE — Desk Review")
-            .otherwise("MONITOR — Low Priority"),
+            banded(F.col("Priority_Score"), operator.gt, ACTION_ABOVE, ACTION_REST),
         )
     )
 
@@ -107,11 +110,11 @@ def intervention_queue(
     intervention = (
         F.when(
             (F.col("Is_Fraudulent") == 1) & (F.col("License_Valid") == 1),
-            "LICENSE REVOCATION + CRIMINAL REFERRAL",
+            REFERRAL,
         )
-        .when(F.col("Fraud_Rate_Pct") >= critical, "IMMEDIATE SIU INVESTIGATION")
-        .when(F.col("Fraud_Rate_Pct") >= high, "FULL AUDIT — Billing Review")
-        .otherwise("ENHANCED MONITORING")
+        .when(F.col("Fraud_Rate_Pct") >= critical, SIU)
+        .when(F.col("Fraud_Rate_Pct") >= high, FULL_AUDIT)
+        .otherwise(MONITORING)
     )
     top = (
         provider_scores(claims)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimhound.functions.bands import SCORE_REST, SCORE_UP_TO, SCORE_ZERO, banded
 from claimhound.functions.measures import (
     fraud_claims,
     fraud_rate,
@@ -44,13 +47,8 @@ def co_occurrence(claims: DataFrame) -> DataFrame:
 def score_bands(claims: DataFrame) -> DataFrame:
     """Bands of the risk score; an unknown score falls into the last."""
     score = F.col("Fraud_Risk_Score")
-    band = (
-        F.when(score == 0, "0 Clean")
-        .when(score <= 20, "1-20 Low")
-        .when(score <= 50, "21-50 Moderate")
-        .when(score <= 70, "51-70 High")
-        .otherwise("71-99 Critical")
-    )
+    zero = F.when(score == 0, SCORE_ZERO)
+    band = banded(score, operator.le, SCORE_UP_TO, SCORE_REST, first=zero)
     grouped = (
         claims.withColumn("Risk_Band", band)
         .groupBy("Risk_Band")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimhound.functions.bands import EXPERIENCE_REST, EXPERIENCE_UP_TO, banded
 from claimhound.functions.grouping import aggregate, desc
 from claimhound.functions.measures import (
     dec,
@@ -58,13 +61,7 @@ def scorecard(
 
 def by_experience(claims: DataFrame, registry: DataFrame) -> DataFrame:
     """Claims by years of practice; unknown years fall into the last band."""
-    years = F.col("Years_Practice")
-    band = (
-        F.when(years <= 5, "0-5 yrs")
-        .when(years <= 10, "6-10 yrs")
-        .when(years <= 20, "11-20 yrs")
-        .otherwise("20+ yrs")
-    )
+    band = banded(F.col("Years_Practice"), operator.le, EXPERIENCE_UP_TO, EXPERIENCE_REST)
     per_provider = claims.groupBy("Provider_ID").agg(
         F.count("Claim_ID").alias("claims"),
         F.sum("Fraud_Label").alias("fraud"),

@@ -127,6 +127,15 @@ def _on_both(analysis) -> Query:
     )
 
 
+def run(name: str, claims: DataFrame, registry: DataFrame) -> DataFrame:
+    """An analysis by name on a user's own two tables, with its default thresholds."""
+    if name in CLAIMS_ONLY:
+        return CLAIMS_ONLY[name](claims)
+    if name in REGISTRY_ONLY:
+        return REGISTRY_ONLY[name](registry)
+    return BOTH[name](claims, registry)
+
+
 def queries() -> dict[str, Query]:
     found = {
         **{name: _on_claims(a) for name, a in CLAIMS_ONLY.items()},

@@ -295,6 +295,13 @@ def test_hit_list_prefers_license_over_rate(spark):
     ]
 
 
+def test_analyses_run_by_name_on_own_tables(spark):
+    fa, pr = claims(spark, {"Fraud_Label": 1}), registry(spark, {})
+    assert catalog.run("q13a_priority_claims", fa, pr).first().Priority_Score == 40
+    assert catalog.run("q00_registry", fa, pr).count() == 1
+    assert catalog.run("q01g_unit_mismatches", fa, pr).first().Raw_Mismatch == 0
+
+
 def test_months_sort_by_calendar(spark):
     df = claims(spark, *[{"Claim_Month": m} for m in ("Dec", "Apr", "Jan")])
     assert values(temporal.monthly(df), "Claim_Month") == [("Jan",), ("Apr",), ("Dec",)]
