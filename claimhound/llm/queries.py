@@ -6,9 +6,16 @@ from claimhound.llm.chat import OP5_SQL, op5_relational_chat
 from claimhound.llm.mixing import OP1_SQL, op1_poisson_mix
 from claimhound.llm.token_counts import op4_length_histogram
 from claimhound.llm.token_files import op2_wavelet_tokens
+from claimhound.llm.toxicity import op3_subword_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_poisson_mix, op2_wavelet_tokens, op4_length_histogram, op5_relational_chat)
+    for f in (
+        op1_poisson_mix,
+        op2_wavelet_tokens,
+        op3_subword_toxicity,
+        op4_length_histogram,
+        op5_relational_chat,
+    )
 }
 ORACLE_SQL = {"op1_poisson_mix": OP1_SQL, "op5_relational_chat": OP5_SQL}
