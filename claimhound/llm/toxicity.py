@@ -344,7 +344,7 @@ def toxicity_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
             )
 
     source = docs.select(*kept)
-    schema = source.schema.add("score", "double").add("predicted", "int")
+    schema = source.schema.add("score", "double").add("predicted", "integer")
     return source.mapInArrow(scored, schema)
 
 
