@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from claimhound.llm.staging import table
 from claimhound.llm.words import IS_SPACE, hashes, pieces, spans, utf8
@@ -344,7 +345,8 @@ def toxicity_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
             )
 
     source = docs.select(*kept)
-    schema = source.schema.add("score", "double").add("predicted", "integer")
+    more = [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
+    schema = StructType(source.schema.fields + more)
     return source.mapInArrow(scored, schema)
 
 
