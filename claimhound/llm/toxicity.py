@@ -41,6 +41,8 @@ BUCKET_BITS = 18
 NGRAMS = (3, 4, 5)
 #: Words of a window, and from one to the next.
 WINDOW, STRIDE = 10, 5
+#: Bytes of training text whose windows are laid out at a time.
+TRAIN_BYTES = 1 << 18
 THRESHOLD = 0.7
 SEED = 7
 
@@ -147,11 +149,12 @@ class Model:
         return logits
 
 
-def _instances(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all windows in order, where each window begins, and its text."""
+def _instances(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all windows in order, where each window begins, its text, and texts by bucket."""
     data, offsets = utf8(pa.array(texts, pa.string()))
     flat, sizes, owner = [], [], []
-    for lo, hi in pieces(offsets):
+    used_by = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    for lo, hi in pieces(offsets, TRAIN_BYTES):
         b = bag(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         if not len(b.starts):
             continue
@@ -166,16 +169,19 @@ def _instances(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, z = np.searchsorted(word, start), np.searchsorted(word, end)
         n = z - a
         at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        each = np.unique(np.repeat(text, n) << BUCKET_BITS | buckets[at])
+        used_by += np.bincount(each & ((1 << BUCKET_BITS) - 1), minlength=len(used_by))
         flat.append(buckets[at])
         sizes.append(n)
         owner.append(text + lo)
     if not flat:
         none = np.zeros(0, dtype=np.int64)
-        return none.astype(np.int32), np.zeros(1, dtype=np.int64), none
+        return none.astype(np.int32), np.zeros(1, dtype=np.int64), none, used_by
     return (
         np.concatenate(flat),
         np.concatenate(([0], np.cumsum(np.concatenate(sizes)))),
         np.concatenate(owner),
+        used_by,
     )
 
 
@@ -200,10 +206,9 @@ def train(
     if not len(label) or label.min() == label.max():
         share = float(label.mean()) if len(label) else 0.0
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), 500.0 if share else -500.0)
-    flat, at, owner = _instances(texts)
+    flat, at, owner, used_by = _instances(texts)
     sizes = np.diff(at)
-    seen = np.unique(np.repeat(owner, sizes) << BUCKET_BITS | flat) & ((1 << BUCKET_BITS) - 1)
-    known = np.flatnonzero(np.bincount(seen, minlength=1 << BUCKET_BITS) >= min_texts)
+    known = np.flatnonzero(used_by >= min_texts)
     place = np.full(1 << BUCKET_BITS, len(known), dtype=np.int32)  # the last vector stays zero
     place[known] = np.arange(len(known))
     flat = place[flat]
@@ -317,8 +322,8 @@ def toxicity_model(
     docs: DataFrame,
     labels: DataFrame,
     *,
-    toxic_rows: int = 1500,
-    clean_rows: int = 3000,
+    toxic_rows: int = 1200,
+    clean_rows: int = 2200,
     train_chars: int = 20_000,
 ) -> Model:
     return train(*training_sample(docs, labels, toxic_rows, clean_rows, train_chars))
