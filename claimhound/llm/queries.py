@@ -5,6 +5,7 @@ from __future__ import annotations
 from claimhound.llm.chat import OP5_SQL, op5_relational_chat
 from claimhound.llm.decontamination import op7_spaced_seeds
 from claimhound.llm.mixing import OP1_SQL, op1_poisson_mix
+from claimhound.llm.secrets import op8_guess_cost
 from claimhound.llm.token_counts import op4_length_histogram
 from claimhound.llm.token_files import op2_wavelet_tokens
 from claimhound.llm.toxicity import op3_subword_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
         op4_length_histogram,
         op5_relational_chat,
         op7_spaced_seeds,
+        op8_guess_cost,
     )
 }
 ORACLE_SQL = {"op1_poisson_mix": OP1_SQL, "op5_relational_chat": OP5_SQL}
