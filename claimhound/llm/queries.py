@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from claimhound.llm.chat import OP5_SQL, op5_relational_chat
 from claimhound.llm.decontamination import op7_spaced_seeds
+from claimhound.llm.html_cut import op10_minimum_cut
 from claimhound.llm.mixing import OP1_SQL, op1_poisson_mix
 from claimhound.llm.secrets import op8_guess_cost
 from claimhound.llm.token_counts import op4_length_histogram
@@ -20,6 +21,7 @@ QUERIES = {
         op5_relational_chat,
         op7_spaced_seeds,
         op8_guess_cost,
+        op10_minimum_cut,
     )
 }
 ORACLE_SQL = {"op1_poisson_mix": OP1_SQL, "op5_relational_chat": OP5_SQL}
