@@ -6,6 +6,7 @@ from claimhound.llm.chat import OP5_SQL, op5_relational_chat
 from claimhound.llm.decontamination import op7_spaced_seeds
 from claimhound.llm.html_cut import op10_minimum_cut
 from claimhound.llm.mixing import OP1_SQL, op1_poisson_mix
+from claimhound.llm.neighbours import op9_small_world
 from claimhound.llm.secrets import op8_guess_cost
 from claimhound.llm.token_counts import op4_length_histogram
 from claimhound.llm.token_files import op2_wavelet_tokens
@@ -21,6 +22,7 @@ QUERIES = {
         op5_relational_chat,
         op7_spaced_seeds,
         op8_guess_cost,
+        op9_small_world,
         op10_minimum_cut,
     )
 }
