@@ -5,6 +5,7 @@ from __future__ import annotations
 from claimhound.llm.chat import OP5_SQL, op5_relational_chat
 from claimhound.llm.decontamination import op7_spaced_seeds
 from claimhound.llm.html_cut import op10_minimum_cut
+from claimhound.llm.jaccard import op6_heavy_light_join
 from claimhound.llm.mixing import OP1_SQL, op1_poisson_mix
 from claimhound.llm.neighbours import op9_small_world
 from claimhound.llm.secrets import op8_guess_cost
@@ -20,6 +21,7 @@ QUERIES = {
         op3_subword_toxicity,
         op4_length_histogram,
         op5_relational_chat,
+        op6_heavy_light_join,
         op7_spaced_seeds,
         op8_guess_cost,
         op9_small_world,
