@@ -238,7 +238,8 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFr
     """
     bad = overlaps(docs, benchmark, **options).select(F.col("doc_key").alias("decon_key")).distinct()
     bad = staged(bad, "contaminated")
-    return docs.join(bad, _doc_key() == F.col("decon_key"), "left_anti")
+    rows = docs.select(_doc_key().alias("doc_key"), F.struct("*").alias("row"))
+    return rows.join(bad, F.col("doc_key") == F.col("decon_key"), "left_anti").select("row.*")
 
 
 def op7_spaced_seeds(spark, sf_dir: str) -> DataFrame:

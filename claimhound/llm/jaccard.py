@@ -375,15 +375,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, columns as they are.
+    """One row for each component: its smallest doc_id's; columns as they are.
 
-    Rows that repeat a kept doc_id stay once each by text; rows without doc_id
-    stay unless a document with one has their text.
+    Of rows with one kept doc_id, one stays; rows without doc_id all stay. The
+    ids to drop, and those on several rows, are written first, so their true
+    size decides how they are joined.
     """
-    found = staged(near_duplicates(docs), "components")
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("near_id")).distinct()
-    dropped = staged(dropped, "near-copies")
-    return docs.join(dropped, docs["doc_id"] == F.col("near_id"), "left_anti")
+    found = staged(near_duplicates(docs), "components").where("doc_id IS NOT NULL")
+    near = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    again = found.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    near, again = staged(near, "near-copies"), staged(again, "repeated-ids")
+    rows, same = docs.select(F.struct("*").alias("row")), F.col("row.doc_id") == F.col("id")
+    once = rows.join(near.unionByName(again), same, "left_anti")
+    repeated = rows.join(again.join(near, "id", "left_anti"), same).dropDuplicates(["id"])
+    return once.unionByName(repeated.select("row")).select("row.*")
 
 
 def op6_heavy_light_join(spark, sf_dir: str) -> DataFrame:

@@ -107,14 +107,17 @@ def poisson_mix(
     temperature: float = 0.5,
     budget: float = 1.0,
     seed: int = 42,
+    number_copies: bool = True,
 ) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) repeated to the target weights, plus ``copy_no``.
+    """``docs`` (doc_id, text, source, ...) repeated to the target weights.
+
+    ``number_copies``: add ``copy_no``, from 1.
 
     The table of rates is written first, so Spark broadcasts it only if its
     true size allows that; beyond, the join is dealt by source and salt, which
     splits a source that holds much of the corpus.
     """
-    columns = [c for c in docs.columns if c != "copy_no"]
+    columns = [c for c in docs.columns if not (number_copies and c == "copy_no")]
     rates = source_rates(docs, weights, temperature=temperature, budget=budget)
     rates = rates.withColumn("sums", _distribution(F.col("mean")))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
@@ -127,8 +130,9 @@ def poisson_mix(
         ),
     )
     copies = F.aggregate(counts, F.lit(0), lambda a, n: a + n)
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("mix_row")  # no name can clash
     marked = docs.select(
-        *columns,
+        row,
         _key().alias("mix_key"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int").alias("mix_salt"),
         _identity().alias("mix_id"),
@@ -137,15 +141,14 @@ def poisson_mix(
         marked.join(rates, ["mix_key", "mix_salt"])
         .withColumn("mix_n", copies)
         .where("mix_n > 0")
-        .select(*columns, "mix_id", F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("copy_no"))
+        .select("mix_row", "mix_id", F.explode(F.sequence(F.lit(1), "mix_n")).alias("copy_no"))
         .withColumn(
             "mix_order",
             F.md5(F.concat_ws("|", seeded, F.lit("copy"), "mix_id", F.col("copy_no").cast("string"))),
         )
     )
-    return mixed.repartition("mix_order").sortWithinPartitions("mix_order").select(
-        *columns, "copy_no"
-    )
+    dealt = mixed.repartition("mix_order").sortWithinPartitions("mix_order")
+    return dealt.select("mix_row.*", *(["copy_no"] if number_copies else []))
 
 
 def op1_poisson_mix(spark, sf_dir: str) -> DataFrame:

@@ -329,30 +329,41 @@ def toxicity_model(
     return train(*training_sample(docs, labels, toxic_rows, clean_rows, train_chars))
 
 
+def _scored(batch: pa.RecordBatch, model: Model) -> np.ndarray:
+    data, offsets = utf8(batch.column("text").cast(pa.large_string()))
+    parts = [
+        model.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        for a, b in pieces(offsets)
+    ]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def toxicity_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` plus score (double) and predicted (int)."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text").cast(pa.large_string()))
-            parts = [
-                shared.value.scores(
-                    data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                )
-                for a, b in pieces(offsets)
-            ]
-            score = np.concatenate(parts) if parts else np.zeros(0)
+            score = _scored(batch, shared.value)
             more = [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
                 batch.columns + more, names=[*batch.schema.names, "score", "predicted"]
             )
 
-    source = docs.select(*kept)
+    source = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
     more = [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
-    schema = StructType(source.schema.fields + more)
-    return source.mapInArrow(scored, schema)
+    return source.mapInArrow(scored, StructType(source.schema.fields + more))
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scored(batch, shared.value) < threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def op3_subword_toxicity(spark, sf_dir: str) -> DataFrame:
