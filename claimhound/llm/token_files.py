@@ -36,13 +36,13 @@ FILES = "part int, shard int, docs long, tokens long, null_ids long, payload bin
 INDEX = "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int):
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, size: int):
     """Ids with end ids, ids per document, and the documents' ids, piece by piece."""
     encode = encoder(tokenizer).encode
     for batch in batches:
         texts, doc_ids = batch.column("text"), batch.column("doc_id")
         _, offsets = utf8(texts)
-        for a, b in pieces(offsets, TEXT_BYTES):
+        for a, b in pieces(offsets, size):
             ids, n = encode(texts.slice(a, b - a))
             ends = np.cumsum(n + 1)
             out = np.full(len(ids) + len(n), end_id, dtype=np.uint32)
@@ -78,7 +78,7 @@ def write_shards(
 
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         names = ["part", "shard", "docs", "tokens", "null_ids", "payload"]
-        for found in _encoded(batches, tokenizer, end_id):
+        for found in _encoded(batches, tokenizer, end_id, min(TEXT_BYTES, shard_tokens)):
             held.append(found)
             size += len(found[0])
             if size >= shard_tokens:
