@@ -25,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimhound.llm.bloom import bloom_filter, may_hold
 from claimhound.llm.staging import staged, table
 from claimhound.llm.words import mixed, pieces, utf8, word_hashes
 
 SEEDS = ("11111", "1101101", "11010011", "1100100101")
 MIN_WORDS = 10
 SIMILARITY = 0.8
-BLOOM_BITS = 24
-PROBES = 4
 
 
 def seed_hashes(words: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -50,10 +49,6 @@ def seed_hashes(words: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarr
         yield mixed(h[fits]), fits
 
 
-def _probe(h: np.ndarray, k: int) -> np.ndarray:
-    return (h >> np.uint64(10 * k)) & np.uint64((1 << BLOOM_BITS) - 1)
-
-
 def benchmark_words(benchmark: DataFrame) -> DataFrame:
     """item_id, words (binary, 8 bytes each) of the items that can be searched."""
 
@@ -95,20 +90,6 @@ def seed_index(items: DataFrame) -> DataFrame:
     return columns.mapInArrow(rows, "hash long, item_key long, item_at int")
 
 
-def bloom(index: DataFrame) -> np.ndarray:
-    """A bit array over the index, of 2**BLOOM_BITS bits whatever the index holds."""
-    mask = F.lit((1 << BLOOM_BITS) - 1)
-    probes = [F.shiftrightunsigned("hash", 10 * k).bitwiseAND(mask) for k in range(PROBES)]
-    bits = index.select(F.explode(F.array(*probes)).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 5).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")).alias("bits")
-    )
-    rows = words.toPandas()  # at most 2**(BLOOM_BITS - 5) rows
-    out = np.zeros(1 << (BLOOM_BITS - 5), dtype="<u4")
-    out[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
-    return out.view(np.uint8)
-
-
 def _doc_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
 
@@ -120,11 +101,8 @@ def candidates(docs: DataFrame, filter_bits: np.ndarray) -> DataFrame:
     def passed(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits, found = shared.value, []
         for h, places in seed_hashes(words, first):
-            for k in range(PROBES):
-                at = _probe(h, k)
-                hit = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)) & 1)
-                h, places = h[hit], places[hit]
-            found.append((h, places))
+            hit = may_hold(bits, h)
+            found.append((h[hit], places[hit]))
         if not found:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         h, places = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -187,7 +165,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORD
     """
     items = staged(benchmark_words(benchmark), "benchmark-words")
     index = staged(seed_index(items), "benchmark-seeds")
-    found = staged(candidates(docs, bloom(index)), "seed-hits")
+    found = staged(candidates(docs, bloom_filter(index, "hash")), "seed-hits")
     hits = found.select("doc_key", F.explode(F.arrays_zip("hashes", "places")).alias("hit"))
     hits = hits.select("doc_key", F.col("hit.hashes").alias("hash"), F.col("hit.places").alias("at"))
     lines = (

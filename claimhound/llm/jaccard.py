@@ -33,6 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimhound.llm.bloom import bloom_filter, may_hold
 from claimhound.llm.components import components
 from claimhound.llm.staging import staged, table
 from claimhound.llm.words import mixed, pieces, utf8, word_hashes
@@ -46,7 +47,8 @@ SKETCH_BLOCKS = 64
 SKETCH_GROUPS = 64
 #: The boundary between small and large sets is sought up to here.
 MOST_SMALL = 64
-BLOCK_SETS = 256
+#: Shingles of all sets of a block, about; a task holds at most two blocks.
+BLOCK_SHINGLES = 1 << 21
 
 
 def _overlap(n: np.ndarray) -> np.ndarray:
@@ -259,6 +261,11 @@ def similar_in(reps: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> li
 
     ``side``: 0 for the sets of one block and 1 for those of another, whose
     links among themselves are another task's; all 0 if there is one block.
+
+    A set that is scanned is compared with all others. At the end every set
+    outside the largest component has been scanned, so two sets of different
+    components are known not to be similar; most of a group of near copies need
+    no scan of their own.
     """
     n = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), n)
@@ -266,79 +273,77 @@ def similar_in(reps: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> li
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    ends = np.append(starts[1:], len(flat))
-    element = np.repeat(np.arange(len(starts)), ends - starts)
-    use = (ends - starts)[element] > 1
-    by_set = np.argsort(owner[use], kind="stable")
-    mine, elements = owner[use][by_set], element[use][by_set]
-    at = np.searchsorted(mine, np.arange(len(sets) + 1))
-    top = np.arange(len(sets))
-
-    def root(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    two, links = bool(side.any()), []
-    for i in range(len(sets)):
-        if two and side[i]:
-            continue
+    size = np.diff(np.append(starts, len(flat)))
+    element = np.repeat(np.arange(len(starts)), size)
+    by_set = np.argsort(owner, kind="stable")
+    elements = element[by_set]
+    at = np.concatenate(([0], np.cumsum(n)))
+    del flat, order, element, by_set
+    label, weight = np.arange(len(sets)), np.ones(len(sets), dtype=np.int64)
+    scanned, two, links = np.zeros(len(sets), dtype=bool), bool(side.any()), []
+    while True:
+        left = np.flatnonzero(~scanned & (label != weight.argmax()))
+        if not len(left) and scanned.any():
+            return links
+        i = int(left[0]) if len(left) else 0
+        scanned[i] = True
         e = elements[at[i] : at[i + 1]]
-        if not len(e):
-            continue
-        size = ends[e] - starts[e]
-        places = np.repeat(starts[e] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        e = e[size[e] > 1]
+        k = size[e]
+        places = np.repeat(starts[e] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         common = np.bincount(owner[places], minlength=len(sets))
         alike = 100 * common >= PERCENT * (n + n[i] - common)
-        alike &= (side == 1) if two else (np.arange(len(sets)) > i)
+        if two:
+            alike &= side != side[i]
         for j in np.flatnonzero(alike).tolist():
-            a, b = root(i), root(j)
-            if a != b and reps[i] != reps[j]:
-                top[a] = b
+            a, b = label[i], label[j]
+            if a != b:
                 links.append((int(reps[i]), int(reps[j])))
-    return links
+                a, b = (a, b) if weight[a] >= weight[b] else (b, a)
+                label[label == b] = a
+                weight[a] += weight[b]
+                weight[b] = 0
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that a filter of fixed size over ``ids`` lets through, so that few are shuffled."""
+    hashed = ids.select(F.xxhash64("doc_id").alias("h"))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(hashed, "h"))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            yield batch.take(pa.array(may_hold(shared.value, h)))
+
+    rows = docs.where(F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
+    return rows.mapInArrow(passed, rows.schema).drop("h")
 
 
 def links_among(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """a, b: links that connect all similar sets of ``groups`` (node, component).
+    """a, b: links that connect all similar sets of ``groups`` (component, doc_id, n).
 
-    A group of m sets is dealt to blocks of about BLOCK_SETS by a hash, and
-    each pair of its blocks is a task's work.
+    A group is dealt to blocks of about BLOCK_SHINGLES by a hash, and each pair
+    of its blocks is a task's work. Texts are dealt, which take less room than
+    their sets.
     """
     sizes = groups.groupBy("component").agg(
-        F.ceil(F.count("*") / F.lit(BLOCK_SETS)).cast("int").alias("blocks")
-    )
-    members = groups.join(sizes, "component").select(
-        "component", F.col("node").alias("doc_id"), "blocks",
-        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"),
-    )
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([s.tobytes() for s in _sets_of(batch)], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names[:-1]] + [sets], names=names
-            )
-
-    names = ["component", "doc_id", "blocks", "own", "set"]
-    texts = members.join(docs.where(F.col("doc_id").isNotNull()), "doc_id")
-    sets = texts.select(*names[:-1], "text").mapInArrow(
-        to_sets, "component long, doc_id long, blocks int, own int, set binary"
+        F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    sets = staged(sets, "member-sets")
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own")
+    members = staged(groups.join(sizes, "component").select("component", "doc_id", "blocks", own), "members")
+    texts = members.join(_only(docs, members), "doc_id")
+    pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component",
         F.least("own", "other").alias("low"),
         F.greatest("own", "other").alias("high"),
         "doc_id",
         (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "set",
+        "text",
     )
 
     def linked(members: pa.Table) -> pa.Table:
         reps = members["doc_id"].to_numpy()
-        sets = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in members["set"]]
+        sets = [s for b in members.select(["text"]).to_batches() for s in _sets_of(b)]
         found = similar_in(reps, sets, members["side"].to_numpy()) if len(sets) > 1 else []
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -358,7 +363,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = staged(classes, "set-classes")
     large_enough = classes.where("rep IS NOT NULL AND n >= 4")  # smaller sets equal all they resemble
     groups = components(related(keyed(large_enough, boundary(found))))
-    linked = components(links_among(docs, groups))
+    members = groups.join(classes.where("n >= 4"), F.col("node") == F.col("rep"))
+    members = members.select("component", F.col("rep").alias("doc_id"), "n")
+    linked = components(links_among(docs, members))
     labels = classes.join(linked, classes.rep == linked.node, "left").select(
         "fp_a", "fp_b", "n", F.coalesce("component", "rep").alias("component_id")
     )
