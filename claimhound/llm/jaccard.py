@@ -41,7 +41,7 @@ from claimhound.llm.words import mixed, pieces, utf8, word_hashes
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
 #: Partial sketches are added in so many groups first.
 SKETCH_GROUPS = 64
@@ -56,6 +56,11 @@ def _overlap(n: np.ndarray) -> np.ndarray:
     return -(-PERCENT * n // 100)
 
 
+def _overlap_with_larger(n: np.ndarray) -> np.ndarray:
+    """The same with any similar set that is not smaller."""
+    return -(-2 * PERCENT * n // (100 + PERCENT))
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """The sorted set of each text."""
     words, first = word_hashes(data, offsets)
@@ -99,17 +104,10 @@ def count_sketch(docs: DataFrame) -> np.ndarray:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
         for batch in batches:
-            held, size = [], 0
             for found in _sets_of(batch):
-                held.append(found)
-                size += len(found)
-                if size > 1 << 18:
-                    total += np.bincount(_counter(np.concatenate(held)), minlength=len(total))
-                    held, size = [], 0
-            if held:
-                total += np.bincount(_counter(np.concatenate(held)), minlength=len(total))
+                np.add.at(total, _counter(found), 1)
         group = TaskContext.get().partitionId() % SKETCH_GROUPS
         parts = np.split(total.astype("<i8"), SKETCH_BLOCKS)
         yield pa.RecordBatch.from_arrays(
@@ -140,7 +138,7 @@ def count_sketch(docs: DataFrame) -> np.ndarray:
     total = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), dtype=np.int64)
     for r in rows:
         total[r.block] = read(bytes(r.counts))
-    return total.ravel()
+    return np.minimum(total.ravel(), np.iinfo(np.int32).max).astype(np.int32)
 
 
 PROFILE = "doc_id long, n long, fp_a long, fp_b long, listed long, prefix binary"
@@ -197,61 +195,78 @@ def boundary(found: DataFrame) -> int:
 
 
 def keyed(classes: DataFrame, small: int) -> DataFrame:
-    """key, n, rep: subsets of small sets, and elements of all sets a large one may resemble."""
+    """key, n, short, rep: subsets of small sets, and elements of sets a large one may resemble.
+
+    Of two similar sets, the smaller one holds a common element in its short
+    prefix, which is all that it needs to share with sets that are not smaller.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, sizes = batch.column("rep").to_numpy(), batch.column("n").to_numpy()
             for lo in range(0, len(reps), 1024):
-                keys, owner = [], []
+                keys, owner, short = [], [], []
                 for i in range(lo, min(lo + 1024, len(reps))):
                     prefix = np.frombuffer(batch.column("prefix")[i].as_py(), dtype=np.uint64)
+                    first = int(sizes[i] - _overlap_with_larger(sizes[i]) + 1)
                     if sizes[i] <= small:
                         a, b = np.triu_indices(len(prefix), 1)
                         pairs = mixed(prefix[a] * np.uint64(0x9E3779B97F4A7C15) + prefix[b])
                         keys.append(pairs)
                         owner.append(np.full(len(pairs), i))
+                        short.append(np.ones(len(pairs), dtype=bool))
                     if 100 * sizes[i] >= PERCENT * small:
                         keys.append(prefix[:-1])
                         owner.append(np.full(len(prefix) - 1, i))
+                        short.append(np.arange(len(prefix) - 1) < first)
                 if not keys:
                     continue
                 at = np.concatenate(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(sizes[at]), pa.array(reps[at])],
-                    names=["key", "n", "rep"],
+                    [
+                        pa.array(np.concatenate(keys).view(np.int64)),
+                        pa.array(sizes[at]),
+                        pa.array(np.concatenate(short).astype(np.int8)),
+                        pa.array(reps[at]),
+                    ],
+                    names=["key", "n", "short", "rep"],
                 )
 
-    return classes.select("rep", "n", "prefix").mapInArrow(rows, "key long, n long, rep long")
+    return classes.select("rep", "n", "prefix").mapInArrow(
+        rows, "key long, n long, short byte, rep long"
+    )
 
 
 def related(entries: DataFrame) -> DataFrame:
-    """a, b: stars over the sets of one key, cut where neighbouring sizes are too far apart.
+    """a, b: links that connect all sets of one key that may be similar.
 
-    A key's sets are read in order of size and never held, whatever their number.
+    A key's sets are read in order of size and never held, whatever their
+    number. Each is linked to the last set before it that has the key in its
+    short prefix, unless that is too small; between that one and any earlier
+    candidate, the same links make a chain.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = size = first = None
+        kept = [np.zeros(0, dtype=np.int64)] * 4
         for batch in batches:
-            k, n, rep = (batch.column(c).to_numpy() for c in ("key", "n", "rep"))
-            if not len(k):
+            columns = [batch.column(c).to_numpy() for c in ("key", "n", "rep", "short")]
+            key, n, rep, short = (np.concatenate(x) for x in zip(kept, columns, strict=True))
+            if not len(key):
                 continue
-            new = np.ones(len(k), dtype=bool)
-            new[1:] = (k[1:] != k[:-1]) | (PERCENT * n[1:] > 100 * n[:-1])
-            new[0] = not (key == k[0] and PERCENT * n[0] <= 100 * size)
-            heads = rep.copy()
-            if not new[0]:  # the batch goes on with the run before it
-                heads[0] = first
-                new[0] = True
-            centre = heads[np.flatnonzero(new)][np.cumsum(new) - 1]
-            key, size, first = k[-1], n[-1], centre[-1]
-            pairs = centre != rep
+            at = np.arange(len(key))
+            last = np.maximum.accumulate(np.where(short > 0, at, -1))
+            before = np.concatenate(([-1], last[:-1]))
+            start = len(kept[0])  # the row kept from the batch before had its link there
+            ok = (before >= 0) & (at >= start)
+            ok &= (key[before] == key) & (PERCENT * n <= 100 * n[before]) & (rep[before] != rep)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(centre[pairs]), pa.array(rep[pairs])], names=["a", "b"]
+                [pa.array(rep[before[ok]]), pa.array(rep[ok])], names=["a", "b"]
             )
+            held = slice(last[-1], last[-1] + 1) if last[-1] >= 0 else slice(0, 0)
+            kept = [x[held] for x in (key, n, rep, short)]
 
-    dealt = entries.repartition("key").sortWithinPartitions("key", "n", "rep")
+    order = ["key", "n", "rep"]
+    dealt = entries.repartition("key").sortWithinPartitions(*order)
     found = dealt.mapInArrow(rows, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
