@@ -23,7 +23,7 @@ WORD_BPE = "word_bpe_49k.json"
 BY_PIECE = frozenset({WORD_BPE})
 TEXTS_A_CALL = 4096
 #: Pieces a worker remembers (about 150 bytes each); when full, it starts anew.
-MOST_KEPT_PIECES = 1_000_000
+MOST_KEPT_PIECES = 400_000
 
 SPACE, LETTER, DIGIT, MARK, WHOLE = range(5)
 

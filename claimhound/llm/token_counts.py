@@ -23,7 +23,7 @@ from claimhound.llm.encode import WORD_BPE, encoder
 from claimhound.llm.staging import table
 from claimhound.llm.words import pieces, utf8
 
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 BLOCK = 1024
 
 

@@ -28,9 +28,9 @@ from claimhound.llm.wavelet import Shard, pack
 from claimhound.llm.words import pieces, utf8
 
 END_ID = 2
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 21
 #: Bytes of text that are encoded at a time.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 FILES = "part int, shard int, docs long, tokens long, null_ids long, payload binary"
 INDEX = "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long"
