@@ -53,24 +53,11 @@ def move_after(df: DataFrame, anchor: str, *names: str) -> DataFrame:
     return df.select(*rest[:at], *names, *rest[at:])
 
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether the optimizer knows ``df`` to be at most 64 MB."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= BROADCAST_BYTES
-
-
-def small_side(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is known to be small.
-
-    A few narrow columns of some million providers pass; the session's default
-    threshold of 10 MB would send every claim through a shuffle for them. Above
-    the limit, or where only an estimate multiplied through a join exists, the
-    join stays a shuffle join, whose skewed keys Spark splits at run time.
-    """
-    return F.broadcast(df) if is_small(df) else df
+def would_broadcast(df: DataFrame) -> bool:
+    """Whether this session broadcasts ``df`` in a join, by its known size and threshold."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return size <= int(limit)
 
 
 def prune_before_top(
@@ -80,15 +67,17 @@ def prune_before_top(
 
     For a facts table too large to broadcast, so that a top-k join does not
     shuffle every row. The join may only add between 0 and ``gain`` to a row's
-    score. The best rows by own score are looked up first; if n of them have a
-    match, the n-th sets a floor that every row of the result must reach with
-    ``gain`` added. With fewer matches nothing is dropped. Exact either way.
+    score. Rows are counted by key and own score, combined before the shuffle,
+    and those counts meet ``facts``. Summed from the top over the n best of them,
+    the score at which they reach n rows is a floor that every row of the result
+    reaches with ``gain`` added. If all counts together hold fewer than n rows,
+    all are in the result and none is dropped. Exact either way.
     """
-    best = rows.select(F.col(key), score.alias("_score")).orderBy(F.desc("_score")).limit(20 * n)
-    matched = facts.select(key).join(F.broadcast(best), key).orderBy(F.desc("_score")).limit(n)
-    floor = matched.agg(
-        F.when(F.count("_score") == n, F.min("_score")).alias("floor")
-    ).scalar()
+    counts = rows.groupBy(F.col(key), score.alias("_score")).agg(F.count(F.lit(1)).alias("_n"))
+    best = counts.join(facts.select(key), key).orderBy(F.desc("_score")).limit(n)
+    so_far = F.sum("_n").over(Window.orderBy(F.desc("_score")))  # over at most n rows
+    reached = best.select("_score", so_far.alias("_so_far")).filter(F.col("_so_far") >= n)
+    floor = reached.agg(F.max("_score").alias("floor")).scalar()
     return rows.filter(floor.isNull() | (score + gain >= floor))
 
 

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from claimhound.sources.schema import FLAGS
 
 _WHOLE = "decimal(18,0)"
-_TOTAL = "decimal(22,2)"
+_TOTAL = "decimal(24,2)"
 
 
-def dec(value: Column, scale: int, precision: int = 18) -> Column:
+def dec(value: Column, scale: int, precision: int = 24) -> Column:
+    """A decimal; by default wide enough for totals of money over any number of claims."""
     return value.cast(f"decimal({precision},{scale})")
 
 
@@ -55,7 +56,7 @@ def amount_percent(part: Column, whole: Column, scale: int = 1) -> Column:
     """Share of two money sums.
 
     Sums of sums carry up to 32 digits, which would leave the quotient six
-    decimals; 22 digits hold any total and leave it twelve.
+    decimals; 24 digits hold any total and leave it ten.
     """
     part, whole = part.cast(_TOTAL), whole.cast(_TOTAL)
     return dec(part * 100 / F.nullif(whole, F.lit(0).cast(_TOTAL)), scale, 12)

@@ -65,7 +65,7 @@ def overpayments(claims: DataFrame) -> DataFrame:
     return claims.filter(F.col("Paid_Amount") > F.col("Billed_Amount")).agg(
         rows().alias("Overpayment_Count"),
         F.sum(F.col("Paid_Amount") - F.col("Billed_Amount"))
-        .cast("decimal(18,2)")
+        .cast("decimal(24,2)")
         .alias("Total_Excess_Paid"),
     )
 

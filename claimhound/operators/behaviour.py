@@ -10,7 +10,6 @@ from claimhound.functions.grouping import (
     desc,
     join_groups,
     rows_of_groups,
-    small_side,
 )
 from claimhound.functions.measures import (
     dec,
@@ -22,7 +21,6 @@ from claimhound.functions.measures import (
     rows,
     thousands,
 )
-from claimhound.sources.shared import write_once
 
 SEPARATOR = " | "
 PATIENT = ["Patient_ID", "Patient_Age", "Patient_Gender", "Patient_State"]
@@ -64,14 +62,8 @@ def _repeated(value: str, count: str) -> Column:
     return F.substr(separated, F.lit(len(SEPARATOR) + 1))
 
 
-def patient_rings(claims: DataFrame, min_providers: int = 5, n: int = 30) -> DataFrame:
-    """Patients seen by many providers, with every fraud type of every claim listed.
-
-    The top patients are chosen on one distinct count and one sum. Only their
-    claims are read again for the rest. The list of types is built from counts
-    per type, so no task buffers one value per claim.
-    """
-    order = [*desc("Unique_Providers", "Total_Billed_K"), *asc(*PATIENT)]
+def _top_rings(claims: DataFrame, min_providers: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """The patients with most providers, and all their claims."""
     top = (
         claims.groupBy(*PATIENT)
         .agg(
@@ -79,10 +71,40 @@ def patient_rings(claims: DataFrame, min_providers: int = 5, n: int = 30) -> Dat
             thousands(F.sum("Billed_Amount")).alias("Total_Billed_K"),
         )
         .filter(F.col("Unique_Providers") >= min_providers)
-        .orderBy(*order)
+        .orderBy(*_rings_first())
         .limit(n)
     )
-    theirs = rows_of_groups(claims, top, PATIENT)
+    return top, rows_of_groups(claims, top, PATIENT)
+
+
+def _rings_first() -> list[Column]:
+    return [*desc("Unique_Providers", "Total_Billed_K"), *asc(*PATIENT)]
+
+
+def patient_ring_types(claims: DataFrame, min_providers: int = 5, n: int = 30) -> DataFrame:
+    """The fraud types of the patients of ``patient_rings`` with their counts, a row each.
+
+    Holds what the list of ``patient_rings`` holds, without its limit of size.
+    """
+    _, theirs = _top_rings(claims, min_providers, n)
+    return (
+        theirs.filter(F.col("Fraud_Type").isNotNull())
+        .groupBy(*PATIENT, "Fraud_Type")
+        .agg(rows().alias("Times"))
+        .orderBy(*asc(*PATIENT, "Fraud_Type"))
+    )
+
+
+def patient_rings(claims: DataFrame, min_providers: int = 5, n: int = 30) -> DataFrame:
+    """Patients seen by many providers, with every fraud type of every claim listed.
+
+    The top patients are chosen on one distinct count and one sum. Only their
+    claims are read again for the rest. The list of types is repeated from counts
+    per type; as it names each fraud claim, it is one string as long as the
+    patient's claims are many, and Spark's limit of 2 GB is reached at about 10^8
+    of them. ``patient_ring_types`` gives the same as counts.
+    """
+    _, theirs = _top_rings(claims, min_providers, n)
     per_type = theirs.groupBy(*PATIENT, "Fraud_Type").agg(rows().alias("times"))
     lists = (
         per_type.filter(F.col("Fraud_Type").isNotNull())
@@ -109,7 +131,7 @@ def patient_rings(claims: DataFrame, min_providers: int = 5, n: int = 30) -> Dat
             "Total_Billed_K",
             "Fraud_Types",
         )
-        .orderBy(*order)
+        .orderBy(*_rings_first())
     )
 
 
@@ -118,8 +140,7 @@ def billing_outliers(claims: DataFrame, sigmas: int = 2) -> DataFrame:
 
     Mean and deviation come from exact decimal sums, so the limit, and with it
     the set of outliers, does not depend on how the rows were split over tasks.
-    The statistics are written once: their true size then decides between a
-    broadcast join and a shuffle join.
+    Adaptive execution sees the size of the statistics before it joins them.
     """
     group = ["CPT_Code", "CPT_Description", "Specialty"]
     amount = F.col("Billed_Amount")
@@ -135,9 +156,9 @@ def billing_outliers(claims: DataFrame, sigmas: int = 2) -> DataFrame:
     n, total = F.col("n").cast("double"), F.col("total").cast("double")
     variance = (F.col("squares").cast("double") - total * total / n) / (n - 1)
     limit = total / n + sigmas * F.sqrt(F.greatest(variance, F.lit(0.0)))
-    limits = write_once(stats.select(*group, "n", "total", limit.alias("ucl")), "cpt-limits")
+    limits = stats.select(*group, "n", "total", limit.alias("ucl"))
     # Codes and specialties that are NULL match nothing; a NULL description still does.
-    cl, li = claims.alias("c"), small_side(limits).alias("l")
+    cl, li = claims.alias("c"), limits.alias("l")
     matched = (
         (F.col("c.CPT_Code") == F.col("l.CPT_Code"))
         & (F.col("c.Specialty") == F.col("l.Specialty"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import asc, desc, is_small, prune_before_top, small_side
+from claimhound.functions.grouping import asc, desc, prune_before_top, would_broadcast
 from claimhound.functions.measures import (
     amount_percent,
     dec,
@@ -39,7 +39,7 @@ def specialty_gap(claims: DataFrame) -> DataFrame:
     billed, paid = F.sum("Billed_Amount"), F.sum("Paid_Amount")
     nothing = F.lit(0).cast("decimal(1,0)")
     # Each claim's ratio is fixed at six decimals, then averaged exactly.
-    ratio = dec(F.col("Billed_Amount") / F.nullif(F.col("Allowed_Amount"), nothing), 6)
+    ratio = dec(F.col("Billed_Amount") / F.nullif(F.col("Allowed_Amount"), nothing), 6, 18)
     return (
         claims.groupBy("Specialty")
         .agg(
@@ -61,9 +61,9 @@ def largest_fraud_claims(
 ) -> DataFrame:
     facts = registry.select("Provider_ID", "Is_Fraudulent", "License_Valid")
     large = claims.filter(is_fraud() & (F.col("Billed_Amount") > min_billed))
-    if not is_small(facts):
+    if not would_broadcast(facts):
         large = prune_before_top(large, facts, "Provider_ID", F.col("Billed_Amount"), n)
-    found = large.join(small_side(facts), "Provider_ID").select(
+    found = large.join(facts, "Provider_ID").select(
         "Claim_ID",
         "Claim_Date",
         "Provider_Name",
@@ -90,7 +90,7 @@ def overbilled_units(claims: DataFrame) -> DataFrame:
     extra = F.col("Units_Billed") - F.col("Units_Rendered")
     # Multiplied before dividing, and fixed at six decimals per claim.
     overcharge = dec(
-        extra * F.col("Billed_Amount") / F.nullif(F.col("Units_Billed"), F.lit(0)), 6
+        extra * F.col("Billed_Amount") / F.nullif(F.col("Units_Billed"), F.lit(0)), 6, 18
     )
     return (
         claims.filter(F.col("Units_Billed") > F.col("Units_Rendered"))

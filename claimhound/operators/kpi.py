@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import desc, move_after, small_side
+from claimhound.functions.grouping import desc, move_after
 from claimhound.functions.measures import (
     amount_where,
     dec,
@@ -86,7 +86,8 @@ def dashboard(claims: DataFrame, registry: DataFrame, critical_score: int = 70)
     )
     patients = (
         claims.select("Provider_ID", "Patient_ID")
-        .join(small_side(facts), "Provider_ID", "left_semi")
+        .distinct()  # before the semi-join, so that a provider's claims are not shuffled for it
+        .join(facts, "Provider_ID", "left_semi")
         .agg(F.count_distinct("Patient_ID").alias("Unique_Patients"))
     )
     # Two one-row frames side by side, through stacking rather than a join.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import aggregate, desc, move_after, small_side
+from claimhound.functions.grouping import aggregate, desc, move_after
 from claimhound.functions.measures import (
     all_flags_set,
     dec,
@@ -99,7 +99,7 @@ def all_flag_claims(claims: DataFrame, registry: DataFrame) -> DataFrame:
     facts = registry.select("Provider_ID", "Is_Fraudulent", "License_Valid")
     return (
         claims.filter(all_flags_set())
-        .join(small_side(facts), "Provider_ID")
+        .join(facts, "Provider_ID")
         .select(
             "Claim_ID",
             "Provider_ID",

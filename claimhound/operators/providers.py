@@ -32,7 +32,6 @@ from claimhound.functions.measures import (
     tally,
     thousands,
 )
-from claimhound.sources.shared import write_once
 
 # Actions of the hit list.
 REVOKE = "REVOKE LICENSE + AUDIT"
@@ -78,7 +77,7 @@ def scorecard(
         stats.join(facts, "Provider_ID")
         .withColumn("Claims_Per_Patient", per(F.col("Total_Claims"), F.col("Unique_Patients")))
         .withColumn(
-            "Denial_Rate", dec(F.col("Denied").cast("decimal(18,0)") / F.col("Total_Claims"), 12)
+            "Denial_Rate", dec(F.col("Denied").cast("decimal(18,0)") / F.col("Total_Claims"), 12, 18)
         )
         .drop("Denied")
         .withColumn(
@@ -86,8 +85,6 @@ def scorecard(
         )
     )
     cards = move_after(cards, "SameDay_Flags", "Claims_Per_Patient", "Denial_Rate")
-    # Read twice below, once for the rank histogram, so it is settled first.
-    cards = write_once(cards, "provider-scorecard")
     ranked = with_rank(cards, "Fraud_Rate_Pct", "Avg_Risk_Score", "Risk_Rank")
     return ranked.orderBy("Risk_Rank", *asc(*PROVIDER))
 

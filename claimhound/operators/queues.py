@@ -11,10 +11,9 @@ from claimhound.functions.bands import ACTION_ABOVE, ACTION_REST, banded
 from claimhound.functions.grouping import (
     asc,
     desc,
-    is_small,
     number_rows,
     prune_before_top,
-    small_side,
+    would_broadcast,
 )
 from claimhound.functions.measures import flag_count, is_fraud
 from claimhound.operators.providers import provider_scores, riskiest_first
@@ -65,7 +64,7 @@ def score_claims(claims: DataFrame, registry: DataFrame) -> DataFrame:
     )
     facts = registry.select(*FACTS)
     return (
-        claims.join(small_side(facts), "Provider_ID")
+        claims.join(facts, "Provider_ID")
         .select(
             score.alias("Priority_Score"),
             "Claim_ID",
@@ -95,7 +94,7 @@ def score_claims(claims: DataFrame, registry: DataFrame) -> DataFrame:
 
 def priority_claims(claims: DataFrame, registry: DataFrame, n: int = 50) -> DataFrame:
     facts = registry.select(*FACTS)
-    if not is_small(facts):
+    if not would_broadcast(facts):
         gain = FRAUDULENT_PROVIDER_POINTS + NO_LICENSE_POINTS
         claims = prune_before_top(claims, facts, "Provider_ID", claim_points(), n, gain)
     scored = score_claims(claims, registry)

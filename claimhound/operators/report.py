@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import asc, desc, small_side
+from claimhound.functions.grouping import asc, desc
 from claimhound.functions.measures import (
     amount_percent,
     dec,
@@ -20,7 +20,6 @@ from claimhound.functions.measures import (
     rows,
     tally,
 )
-from claimhound.sources.shared import write_once
 
 NAMED = ["Provider_ID", "Provider_Name", "Specialty"]
 
@@ -98,52 +97,88 @@ def level_one(claims: DataFrame, n: int = 10) -> DataFrame:
     return both.orderBy(*desc("Fraud_Paid"), *asc(*NAMED))
 
 
-def peer_benchmark(claims: DataFrame) -> DataFrame:
-    """Mean billed of each provider against the mean of the specialty.
+def _deviation(own: str, peer: str) -> Column:
+    """How far a mean lies from its peers' mean, in percent of that."""
+    peers = F.nullif(F.col(peer), F.lit(0).cast("decimal(1,0)"))
+    return dec((F.col(own) - F.col(peer)) * 100 / peers, 2, 12)
+
 
-    The specialty sums come from the provider rows. They are written once, so
-    that their size, one row per specialty, is known before the join.
+def _against_peers(claims: DataFrame, peer_keys: list[str]) -> DataFrame:
+    """Mean billed of each provider beside the mean of all claims with the same ``peer_keys``.
+
+    Claims are read once: the peers' sums are windows over the provider rows.
     """
-    providers = write_once(
-        claims.groupBy(*NAMED).agg(
-            rows().alias("Claims"),
-            F.sum("Billed_Amount").alias("billed"),
-            F.count("Billed_Amount").alias("n"),
-            fraud_rate().alias("Fraud_Rate_Pct"),
-        ),
-        "peer-providers",
+    own_keys = NAMED + [k for k in peer_keys if k not in NAMED]
+    providers = claims.groupBy(*own_keys).agg(
+        rows().alias("Claims"),
+        F.sum("Billed_Amount").alias("billed"),
+        F.count("Billed_Amount").alias("n"),
+        fraud_rate().alias("Fraud_Rate_Pct"),
     )
-    peers = write_once(
-        providers.groupBy(F.col("Specialty").alias("peer_specialty")).agg(
-            F.sum("billed").alias("peer_billed"), F.sum("n").alias("peer_n")
-        ),
-        "peer-specialties",
+    peers = Window.partitionBy(*peer_keys)
+    means = {
+        "Avg_Billed": F.col("billed") / F.nullif(F.col("n"), F.lit(0)),
+        "Peer_Avg_Billed": F.sum("billed").over(peers)
+        / F.nullif(F.sum("n").over(peers), F.lit(0)),
+    }
+    found = providers.select(
+        *own_keys,
+        "Claims",
+        *[dec(mean, 2, 12).alias(name) for name, mean in means.items()],
+        "Fraud_Rate_Pct",
     )
-    own = dec(F.col("billed") / F.nullif(F.col("n"), F.lit(0)), 2, 12)
-    peer = dec(F.col("peer_billed") / F.nullif(F.col("peer_n"), F.lit(0)), 2, 12)
-    return (
-        providers.join(small_side(peers), F.col("Specialty").eqNullSafe(F.col("peer_specialty")))
-        .select(
-            *NAMED,
-            "Claims",
-            own.alias("Avg_Billed"),
-            peer.alias("Peer_Avg_Billed"),
-            "Fraud_Rate_Pct",
-        )
-        .withColumn(
-            "Deviation_Pct",
-            dec(
-                (F.col("Avg_Billed") - F.col("Peer_Avg_Billed"))
-                * 100
-                / F.nullif(F.col("Peer_Avg_Billed"), F.lit(0).cast("decimal(1,0)")),
-                2,
-                12,
-            ),
-        )
-        .orderBy(*desc("Deviation_Pct"), *asc(*NAMED))
+    return found.withColumn("Deviation_Pct", _deviation("Avg_Billed", "Peer_Avg_Billed"))
+
+
+def peer_benchmark(claims: DataFrame) -> DataFrame:
+    """Mean billed of each provider against the mean of the specialty."""
+    return _against_peers(claims, ["Specialty"]).orderBy(*desc("Deviation_Pct"), *asc(*NAMED))
+
+
+def quarterly_peer_benchmark(claims: DataFrame) -> DataFrame:
+    """The same per quarter: each specialty's baseline, and every provider's deviation from it."""
+    period = ["Claim_Year", "Claim_Quarter"]
+    found = _against_peers(claims, ["Specialty", *period])
+    return found.orderBy(*asc(*period), *desc("Deviation_Pct"), *asc(*NAMED))
+
+
+def portfolio_savings(claims: DataFrame) -> DataFrame:
+    """What was billed, paid and saved over all claims; an unpaid claim saves all it billed."""
+    totals = claims.agg(
+        F.sum("Billed_Amount").alias("billed"), F.sum("Paid_Amount").alias("paid")
+    )
+    saved = F.col("billed") - F.col("paid")
+    return totals.select(
+        dec(F.col("billed"), 2).alias("Total_Billed"),
+        dec(F.col("paid"), 2).alias("Total_Paid"),
+        dec(saved, 2).alias("Savings"),
+        amount_percent(saved, F.col("billed"), 2).alias("Savings_Rate_Pct"),
     )
 
 
+def audit_coverage(
+    claims: DataFrame, reviewed: DataFrame | None = None, n: int = 10
+) -> DataFrame:
+    """Which of the top n providers by fraud paid were reviewed, and the share of them.
+
+    ``reviewed`` holds a Provider_ID per reviewed provider; without it none was.
+    """
+    top = top_by_paid(claims, n)
+    if reviewed is None:
+        found = top.withColumn("Reviewed", F.lit(0))
+    else:
+        done = reviewed.select("Provider_ID").distinct().withColumn("Reviewed", F.lit(1))
+        found = top.join(done, "Provider_ID", "left").fillna(0, ["Reviewed"])
+    whole = Window.partitionBy()  # over the n rows
+    return found.select(
+        *NAMED,
+        "Fraud_Claims",
+        "Fraud_Paid",
+        "Reviewed",
+        percent(F.sum("Reviewed").over(whole), F.count("*").over(whole)).alias("Coverage_Pct"),
+    ).orderBy(*desc("Fraud_Paid"), *asc(*NAMED))
+
+
 def patient_mills(
     claims: DataFrame, min_claims: int = 100, min_claims_per_patient: str = "1.20"
 ) -> DataFrame:
@@ -182,7 +217,11 @@ def by_weekday(claims: DataFrame) -> DataFrame:
 
 
 def fourth_quarter(claims: DataFrame) -> DataFrame:
-    period = F.when(F.quarter("Claim_Date") == 4, "Q4").otherwise("Q1-Q3")
+    period = (
+        F.when(F.quarter("Claim_Date") == 4, "Q4")
+        .when(F.quarter("Claim_Date") < 4, "Q1-Q3")
+        .otherwise("No date")
+    )
     return (
         claims.groupBy(period.alias("Period"))
         .agg(
@@ -265,7 +304,7 @@ def weekend_known_providers(claims: DataFrame, registry: DataFrame) -> DataFrame
     known = registry.filter("Is_Fraudulent = 1").select("Provider_ID")
     return (
         claims.filter("Flag_Weekend = 1")
-        .join(small_side(known), "Provider_ID", "left_semi")
+        .join(known, "Provider_ID", "left_semi")
         .select(*_CLAIM, F.col("Billed_Amount").alias("Billed"))
     )
 
@@ -309,12 +348,12 @@ def kpi_scorecard(claims: DataFrame) -> DataFrame:
     )
 
     def money(text: str) -> Column:
-        return F.lit(text).cast("decimal(18,2)")
+        return F.lit(text).cast("decimal(24,2)")
 
     lines = [
         F.struct(
             F.lit(kpi).alias("KPI"),
-            F.col(f"`{kpi}`").cast("decimal(18,2)").alias("Current_Value"),
+            F.col(f"`{kpi}`").cast("decimal(24,2)").alias("Current_Value"),
             money(first).alias("Target_2026"),
             money(second).alias("Target_2027"),
             F.lit(kind).alias("Kind"),

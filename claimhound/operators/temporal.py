@@ -52,6 +52,7 @@ def yearly(claims: DataFrame, from_year: int = 2021) -> DataFrame:
                 * 100
                 / F.nullif(F.col("prev_paid"), F.lit(0).cast("decimal(1,0)")),
                 1,
+                18,
             ),
         )
         .drop("prev_paid")
@@ -143,7 +144,7 @@ def volume_spikes(
             percent(F.col("fraud"), F.col("labelled")).alias("Overall_Fraud_Rate_Pct"),
         )
         .filter((prior > 0) & (current > 0) & (growth > prior * min_growth_pct))
-        .withColumn("Volume_Growth_Pct", dec(growth / prior, 1))
+        .withColumn("Volume_Growth_Pct", dec(growth / prior, 1, 18))
     )
     pairs = move_after(pairs, "Current_Year_Claims", "Volume_Growth_Pct")
     return pairs.orderBy(*desc("Volume_Growth_Pct"), *asc(*pairs.columns[:5])).limit(n)

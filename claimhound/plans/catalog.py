@@ -60,6 +60,7 @@ CLAIMS_ONLY = {
     "q07e_insurer_pay_rate": financial.insurer_pay_rate,
     "q08a_crowded_days": behaviour.crowded_days,
     "q08b_patient_rings": behaviour.patient_rings,
+    "q08b_ring_types": behaviour.patient_ring_types,
     "q08c_billing_outliers": behaviour.billing_outliers,
     "q08d_weekend_providers": behaviour.weekend_providers,
     "q09a_insurer_exposure": payers.exposure_report,
@@ -89,6 +90,9 @@ CLAIMS_ONLY = {
     "r14_weekend_review": report.weekend_review,
     "r15_unit_mismatch_holds": report.unit_mismatch_holds,
     "r16_kpi_scorecard": report.kpi_scorecard,
+    "r17_quarterly_peers": report.quarterly_peer_benchmark,
+    "r18_portfolio_savings": report.portfolio_savings,
+    "r19_audit_coverage": report.audit_coverage,
 }
 
 REGISTRY_ONLY = {
@@ -127,13 +131,19 @@ def _on_both(analysis) -> Query:
     )
 
 
-def run(name: str, claims: DataFrame, registry: DataFrame) -> DataFrame:
-    """An analysis by name on a user's own two tables, with its default thresholds."""
+def run(name: str, claims: DataFrame, registry: DataFrame, **params) -> DataFrame:
+    """An analysis by name on a user's own two tables; ``params`` are its thresholds.
+
+    ``x01_streamed_scores`` scores the claims given, as a batch or, if they are
+    read as a stream, as one that the caller starts.
+    """
     if name in CLAIMS_ONLY:
-        return CLAIMS_ONLY[name](claims)
+        return CLAIMS_ONLY[name](claims, **params)
     if name in REGISTRY_ONLY:
-        return REGISTRY_ONLY[name](registry)
-    return BOTH[name](claims, registry)
+        return REGISTRY_ONLY[name](registry, **params)
+    if name == "x01_streamed_scores":
+        return queues.score_claims(claims, registry, **params)
+    return BOTH[name](claims, registry, **params)
 
 
 def queries() -> dict[str, Query]:

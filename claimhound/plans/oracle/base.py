@@ -136,11 +136,11 @@ def score(digits: int = 1) -> str:
 
 
 def thousands(total: str) -> str:
-    return hu(total, "100000", 1, 18)
+    return hu(total, "100000", 1, 24)
 
 
 def millions(total: str) -> str:
-    return hu(total, "100000000", 3, 18)
+    return hu(total, "100000000", 3, 24)
 
 
 def mean_of(column: str) -> str:
@@ -149,4 +149,4 @@ def mean_of(column: str) -> str:
 
 def money(total: str) -> str:
     """Whole cents as an amount."""
-    return hu(total, "100", 2, 18)
+    return hu(total, "100", 2, 24)

@@ -81,7 +81,7 @@ SELECT COUNT(*) AS Total_Claims,
        {millions(CENTS_BILLED)} AS Total_Billed_M,
        {millions(CENTS_ALLOWED)} AS Total_Allowed_M,
        {millions(CENTS_PAID)} AS Total_Paid_M,
-       {signed_hu(f"({CENTS_BILLED} - {CENTS_PAID})", "100000000", 3, 18)} AS Billed_vs_Paid_Gap_M,
+       {signed_hu(f"({CENTS_BILLED} - {CENTS_PAID})", "100000000", 3, 24)} AS Billed_vs_Paid_Gap_M,
        {FRAUD} AS Confirmed_Fraud_Claims,
        {RATE} AS Overall_Fraud_Rate_Pct,
        {millions("SUM(CASE WHEN Fraud_Label = 1 THEN " + cents("Billed_Amount") + " ELSE 0 END)")}
@@ -285,18 +285,19 @@ SELECT *, SUM(CAST(Fraud_Rate * 100 AS BIGINT)) OVER w AS s, COUNT(*) OVER w AS
 FROM q WINDOW w AS (ORDER BY Claim_Year, Claim_Quarter ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
 SELECT Claim_Year, Claim_Quarter, Claims, Fraud_Rate, {hu("s", "n * 100", 2)} AS Rolling_4Q_Avg
 FROM t""",
-    "q06e_volume_spikes": f""", y AS (
-SELECT Provider_ID, Claim_Year, COUNT(*) AS n FROM fa WHERE Claim_Year IN (2022, 2023, 2024)
-GROUP BY Provider_ID, Claim_Year)
-SELECT y2.Provider_ID, Provider_Name, Specialty, y1.n AS Prior_Year_Claims,
-       y2.n AS Current_Year_Claims,
-       {hu("(y2.n - y1.n) * 100", "y1.n", 1, 18)} AS Volume_Growth_Pct,
-       {RATE} AS Overall_Fraud_Rate_Pct
-FROM y y1 JOIN y y2 ON y1.Provider_ID = y2.Provider_ID AND y2.Claim_Year = y1.Claim_Year + 1
-JOIN fa ON y2.Provider_ID = fa.Provider_ID
-WHERE (y2.n - y1.n) * 100 > 100 * y1.n
-GROUP BY y2.Provider_ID, Provider_Name, Specialty, y1.n, y2.n
-ORDER BY Volume_Growth_Pct DESC, y2.Provider_ID, Provider_Name, Specialty, y1.n, y2.n LIMIT 20""",
+    "q06e_volume_spikes": f""", counted AS (
+SELECT Provider_ID, Claim_Year, COUNT(*) AS n FROM fa GROUP BY ALL), stepped AS (
+SELECT Provider_ID, n, LAG(n) OVER p AS prior, Claim_Year - LAG(Claim_Year) OVER p AS step
+FROM counted WHERE Claim_Year BETWEEN 2022 AND 2024
+WINDOW p AS (PARTITION BY Provider_ID ORDER BY Claim_Year)), rated AS (
+SELECT Provider_ID, Provider_Name, Specialty, {RATE} AS Overall_Fraud_Rate_Pct
+FROM fa GROUP BY Provider_ID, Provider_Name, Specialty)
+SELECT DISTINCT Provider_ID, Provider_Name, Specialty, prior AS Prior_Year_Claims,
+       n AS Current_Year_Claims, {hu("(n - prior) * 100", "prior", 1, 18)} AS Volume_Growth_Pct,
+       Overall_Fraud_Rate_Pct
+FROM stepped JOIN rated USING (Provider_ID) WHERE step = 1 AND n > 2 * prior
+ORDER BY Volume_Growth_Pct DESC, Provider_ID, Provider_Name, Specialty, Prior_Year_Claims,
+         Current_Year_Claims LIMIT 20""",
 }
 
 STATEMENTS = {**AUDIT, **DASHBOARD, **PATTERNS, **PROVIDERS, **GEOGRAPHY, **TIME}

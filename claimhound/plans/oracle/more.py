@@ -41,11 +41,11 @@ FINANCIAL = {
 SELECT CASE Fraud_Label WHEN 1 THEN 'Fraudulent' ELSE 'Legitimate' END AS Category,
        COUNT(*) AS Claims, {millions(CENTS_BILLED)} AS Billed_M,
        {millions(CENTS_ALLOWED)} AS Allowed_M, {millions(CENTS_PAID)} AS Paid_M,
-       {signed_hu(GAP, "100000000", 3, 18)} AS Denied_Gap_M, {PAY_RATE} AS Pay_Rate_Pct
+       {signed_hu(GAP, "100000000", 3, 24)} AS Denied_Gap_M, {PAY_RATE} AS Pay_Rate_Pct
 FROM fa GROUP BY Fraud_Label""",
     "q07b_specialty_gap": f"""
 SELECT Specialty, COUNT(*) AS Claims, {millions(CENTS_BILLED)} AS Billed_M,
-       {millions(CENTS_PAID)} AS Paid_M, {signed_hu(GAP, "100000000", 3, 18)} AS Gap_M,
+       {millions(CENTS_PAID)} AS Paid_M, {signed_hu(GAP, "100000000", 3, 24)} AS Gap_M,
        {signed_hu(GAP + " * 100", f"NULLIF({CENTS_BILLED}, 0)", 1)} AS Gap_Pct,
        {hu(f"SUM({RATIO})", f"COUNT({RATIO}) * 1000000", 2)} AS Bill_to_Allow_Ratio
 FROM fa GROUP BY Specialty""",
@@ -63,7 +63,7 @@ LIMIT 50""",
 SELECT Provider_ID, Provider_Name, Specialty, COUNT(*) AS Mismatch_Claims,
        {big("SUM(Units_Billed - Units_Rendered)")} AS Total_Extra_Units,
        {hu("SUM(Units_Billed - Units_Rendered)", "COUNT(*)", 2)} AS Avg_Extra_Units,
-       {hu(f"SUM({OVERCHARGE})", "1000000", 2, 18)} AS Est_Overbilled
+       {hu(f"SUM({OVERCHARGE})", "1000000", 2, 24)} AS Est_Overbilled
 FROM fa WHERE Units_Billed > Units_Rendered GROUP BY Provider_ID, Provider_Name, Specialty""",
     "q07e_insurer_pay_rate": f"""
 SELECT Insurer, COUNT(*) AS Claims, {millions(CENTS_BILLED)} AS Billed_M,
@@ -90,6 +90,11 @@ SELECT {PATIENT}, COUNT(*) AS Total_Claims, COUNT(DISTINCT Provider_ID) AS Uniqu
        STRING_AGG(Fraud_Type, ' | ' ORDER BY Fraud_Type) AS Fraud_Types
 FROM fa GROUP BY {PATIENT} HAVING COUNT(DISTINCT Provider_ID) >= 5
 ORDER BY Unique_Providers DESC, Total_Billed_K DESC, {PATIENT} LIMIT 30""",
+    "q08b_ring_types": f""", top AS (
+SELECT {PATIENT} FROM fa GROUP BY {PATIENT} HAVING COUNT(DISTINCT Provider_ID) >= 5
+ORDER BY COUNT(DISTINCT Provider_ID) DESC, {thousands(CENTS_BILLED)} DESC, {PATIENT} LIMIT 30)
+SELECT {PATIENT}, Fraud_Type, COUNT(*) AS Times FROM fa SEMI JOIN top USING ({PATIENT})
+WHERE Fraud_Type IS NOT NULL GROUP BY ALL""",
     "q08c_billing_outliers": f""", st AS (
 SELECT CPT_Code, CPT_Description, Specialty, COUNT(Billed_Amount) AS n, {CENTS_BILLED} AS total,
        AVG(CAST(Billed_Amount AS DOUBLE)) + 2 * STDDEV_SAMP(CAST(Billed_Amount AS DOUBLE)) AS ucl
@@ -262,7 +267,7 @@ CLAIM = f"Claim_ID, Claim_Date, {NAMED}, Patient_ID, Fraud_Risk_Score, Claim_Sta
 
 
 def _kpi(name: str, value: str, first: str, second: str, sign: str) -> str:
-    target = "CAST({} AS DECIMAL(18,2))"
+    target = "CAST({} AS DECIMAL(24,2))"
     return f"""
 SELECT '{name}' AS KPI, {value} AS Current_Value, {target.format(first)} AS Target_2026,
        {target.format(second)} AS Target_2027, CAST({value} {sign} {first} AS INTEGER) AS Meets_2026,
@@ -307,13 +312,14 @@ SELECT CAST(isodow(Claim_Date) AS INTEGER) AS Day_Number, dayname(Claim_Date) AS
        {mean_of("Billed_Amount")} AS Avg_Billed
 FROM fa GROUP BY 1, 2""",
     "r09_fourth_quarter": f"""
-SELECT CASE WHEN month(Claim_Date) >= 10 THEN 'Q4' ELSE 'Q1-Q3' END AS Period, COUNT(*) AS Claims,
+SELECT CASE WHEN month(Claim_Date) >= 10 THEN 'Q4' WHEN Claim_Date IS NULL THEN 'No date'
+       ELSE 'Q1-Q3' END AS Period, COUNT(*) AS Claims,
        {FRAUD} AS Fraud_Claims, {RATE} AS Fraud_Rate_Pct, {money(CENTS_FRAUD_PAID)} AS Fraud_Paid
 FROM fa GROUP BY 1""",
     "r10_recoverable_loss": f"""
 SELECT {money(CENTS_FRAUD_PAID)} AS Recoverable_Loss, {SPAN} AS Span_Days,
-       {hu(CENTS_FRAUD_PAID, f"{SPAN} * 100", 2, 18)} AS Daily_Burn,
-       {hu(f"{CENTS_FRAUD_PAID} * 365", f"{SPAN} * 100", 2, 18)} AS Annualised_Leakage
+       {hu(CENTS_FRAUD_PAID, f"{SPAN} * 100", 2, 24)} AS Daily_Burn,
+       {hu(f"{CENTS_FRAUD_PAID} * 365", f"{SPAN} * 100", 2, 24)} AS Annualised_Leakage
 FROM fa""",
     "r11_leakage_ratio": f"""
 SELECT {money(CENTS_FRAUD_PAID)} AS Fraud_Paid, {money(CENTS_PAID)} AS Total_Paid,
@@ -344,18 +350,36 @@ WHERE Flag_Weekend = 1 AND Provider_ID IN (SELECT Provider_ID FROM pr WHERE Is_F
     "r15_unit_mismatch_holds": f"""
 SELECT {CLAIM}, Billed_Amount AS Billed, Units_Billed, Units_Rendered, Flag_UnitMismatch
 FROM fa WHERE {DIFFER}""",
+    "r17_quarterly_peers": f""", sums AS (
+SELECT {NAMED}, Claim_Year, Claim_Quarter, COUNT(*) AS Claims, {CENTS_BILLED} AS c,
+       COUNT(Billed_Amount) AS k, {RATE} AS Fraud_Rate_Pct
+FROM fa GROUP BY ALL), means AS (
+SELECT *, {hu("c", "k * 100", 2)} AS Avg_Billed,
+       {hu("SUM(c) OVER peers", "SUM(k) OVER peers * 100", 2)} AS Peer_Avg_Billed
+FROM sums WINDOW peers AS (PARTITION BY Specialty, Claim_Year, Claim_Quarter))
+SELECT * EXCLUDE (c, k),
+       {signed_hu("CAST((Avg_Billed - Peer_Avg_Billed) * 100 AS BIGINT) * 100",
+                  "CAST(Peer_Avg_Billed * 100 AS BIGINT)", 2)} AS Deviation_Pct
+FROM means""",
+    "r18_portfolio_savings": f"""
+SELECT {money(CENTS_BILLED)} AS Total_Billed, {money(CENTS_PAID)} AS Total_Paid,
+       {signed_hu(GAP, "100", 2, 24)} AS Savings,
+       {signed_hu(GAP + " * 100", CENTS_BILLED, 2)} AS Savings_Rate_Pct
+FROM fa""",
+    "r19_audit_coverage": f"""{FRAUD_PROVIDERS}
+SELECT t.*, 0 AS Reviewed, CAST(0 AS DECIMAL(12,2)) AS Coverage_Pct FROM ({BY_PAID}) t""",
     "r16_kpi_scorecard": " UNION ALL ".join(
         [
-            _kpi("Portfolio Fraud Rate", hu("SUM(Fraud_Label) * 100", "COUNT(*)", 2, 18), "8.00", "5.00", "<="),
-            _kpi("Revenue Leakage Ratio", hu(f"{CENTS_FRAUD_PAID} * 100", CENTS_PAID, 2, 18), "7.00", "5.00", "<="),
-            _kpi("Daily Burn Rate", hu(CENTS_FRAUD_PAID, f"{SPAN} * 100", 2, 18), "7500.00", "5000.00", "<="),
+            _kpi("Portfolio Fraud Rate", hu("SUM(Fraud_Label) * 100", "COUNT(*)", 2, 24), "8.00", "5.00", "<="),
+            _kpi("Revenue Leakage Ratio", hu(f"{CENTS_FRAUD_PAID} * 100", CENTS_PAID, 2, 24), "7.00", "5.00", "<="),
+            _kpi("Daily Burn Rate", hu(CENTS_FRAUD_PAID, f"{SPAN} * 100", 2, 24), "7500.00", "5000.00", "<="),
             _kpi(
                 "Unit Mismatch Recall",
                 hu(
                     f"COUNT(*) FILTER ({DIFFER} AND Flag_UnitMismatch = 1) * 100",
                     f"NULLIF(COUNT(*) FILTER ({DIFFER}), 0)",
                     2,
-                    18,
+                    24,
                 ),
                 "100.00",
                 "100.00",
@@ -367,7 +391,7 @@ FROM fa WHERE {DIFFER}""",
                     "(COUNT(Claim_ID) + COUNT(Provider_ID) + COUNT(Billed_Amount) + COUNT(Claim_Date)) * 100",
                     "(4 * COUNT(*))",
                     2,
-                    18,
+                    24,
                 ),
                 "100.00",
                 "100.00",

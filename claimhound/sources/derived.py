@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimhound.functions.grouping import small_side
 from claimhound.sources.schema import CLAIMS, REGISTRY, conform
 
 SOURCE_TABLES = ["lineitem", "orders", "customer", "supplier", "nation"]
@@ -72,7 +71,7 @@ def derive_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem")
     joined = (
         lines.join(visits, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(small_side(supplier), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(provider_nation, F.col("s_nationkey") == F.col("s_nation"))
     )
     return conform(_claim_columns(_spread(joined, lines)), CLAIMS)

@@ -1,16 +1,18 @@
 """Tables written once to the shared folder and read back.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-local-mode session without that setting gets a temporary folder of its own; on
-a cluster without it nothing is written and callers keep their lazy plan.
-
-Everything lives under the application's id, so nothing outlives or collides
-with another run. A written table cuts lineage and survives the loss of any
-executor, and its real size lets Spark decide whether it may be broadcast.
+The folder is the one set for the running context, or named by
+``spark.checkpoint.dir``. Only a local-mode session without either gets a
+temporary folder of its own; on a cluster without it nothing is written and
+callers keep their lazy plan.
+
+Everything lives under the application's id and is deleted when its JVM ends
+in order, or by ``drop_tables``. A written table cuts lineage and survives the
+loss of any executor, and its real size lets Spark decide how it is joined.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import threading
 import uuid
@@ -28,11 +30,12 @@ from claimhound.sources.schema import CLAIMS, REGISTRY
 _local_dir: tempfile.TemporaryDirectory | None = None
 _landed: dict[tuple, str] = {}
 _landing = threading.Lock()
+_deleted_at_exit: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str | None:
     global _local_dir
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base and spark.sparkContext.master.startswith("local"):
         if _local_dir is None:
             _local_dir = tempfile.TemporaryDirectory(prefix="claimhound-")
@@ -43,53 +46,37 @@ def shared_folder(spark: SparkSession) -> str | None:
 def new_folder(spark: SparkSession, name: str) -> str | None:
     """A path in the shared folder that nothing has used yet."""
     base = shared_folder(spark)
+    if base and base not in _deleted_at_exit:
+        path = _path(spark, base)
+        _file_system(spark, path).deleteOnExit(path)
+        _deleted_at_exit.add(base)
     return f"{base}/{name}-{uuid.uuid4().hex}" if base else None
 
 
-def write_once(df: DataFrame, name: str) -> DataFrame:
-    """``df`` read back from the shared folder, or ``df`` itself where there is none."""
-    path = new_folder(df.sparkSession, name)
-    if path is None:
-        return df
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-SHUFFLE_BYTES_PER_TASK = 512 * 1024 * 1024
-MOST_SHUFFLE_TASKS = 32768
-
-
-def size_shuffles(spark: SparkSession, sf_dir: str) -> None:
-    """Start shuffles with enough partitions for the source data, unless the session says how many.
-
-    Adaptive execution merges partitions that turn out small but never splits
-    an ordinary one, so the number it starts from has to suit the largest
-    shuffle. Small data keeps the session's ``spark.sql.shuffle.partitions``.
-    """
-    setting = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    if spark.conf.get(setting, None):
-        return
-    total = sum(
-        _file_system(spark, path).getContentSummary(path).getLength()
-        for path in _source_paths(spark, sf_dir)
-    )
-    wanted = min(total // SHUFFLE_BYTES_PER_TASK, MOST_SHUFFLE_TASKS)
-    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        spark.conf.set(setting, wanted)
+def remove_folder(spark: SparkSession, name: str) -> None:
+    path = _path(spark, name)
+    _file_system(spark, path).delete(path, True)
 
 
-def _source_paths(spark: SparkSession, sf_dir: str) -> list:
-    return [spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, t)) for t in SOURCE_TABLES]
+def _path(spark: SparkSession, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(name)
 
 
 def _file_system(spark: SparkSession, path):
     return path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _source_state(spark: SparkSession, sf_dir: str) -> tuple:
-    """Length and modification time of the source paths, to notice replaced data."""
-    found = [_file_system(spark, p).getFileStatus(p) for p in _source_paths(spark, sf_dir)]
-    return tuple((status.getLen(), status.getModificationTime()) for status in found)
+def source_state(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of path, length and modification time of every source file, at any depth."""
+    digest = hashlib.sha256()
+    for name in SOURCE_TABLES:
+        path = _path(spark, table_path(sf_dir, name))
+        files, found = _file_system(spark, path).listFiles(path, True), []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        digest.update("\n".join([name, *sorted(found)]).encode())
+    return digest.hexdigest()
 
 
 def claims_path(spark: SparkSession, sf_dir: str) -> str | None:
@@ -110,10 +97,9 @@ def load_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _land(spark: SparkSession, sf_dir: str, name: str, derive) -> str | None:
     if shared_folder(spark) is None:
         return None
-    key = (shared_folder(spark), sf_dir, name, _source_state(spark, sf_dir))
+    key = (shared_folder(spark), sf_dir, name, source_state(spark, sf_dir))
     with _landing:
         if key not in _landed or not _exists(spark, f"{_landed[key]}/_SUCCESS"):
-            size_shuffles(spark, sf_dir)
             path = new_folder(spark, name)
             derive(spark, sf_dir).write.parquet(path)
             _landed[key] = path
@@ -121,7 +107,7 @@ def _land(spark: SparkSession, sf_dir: str, name: str, derive) -> str | None:
 
 
 def _exists(spark: SparkSession, name: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path = _path(spark, name)
     return _file_system(spark, path).exists(path)
 
 
@@ -129,5 +115,4 @@ def drop_tables(spark: SparkSession) -> None:
     """Delete everything this application wrote to the shared folder."""
     base = shared_folder(spark)
     if base:
-        path = spark._jvm.org.apache.hadoop.fs.Path(base)
-        _file_system(spark, path).delete(path, True)
+        remove_folder(spark, base)

@@ -9,13 +9,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from claimhound.functions import grouping
 from claimhound.functions.grouping import (
     aggregate,
     prune_before_top,
     rows_of_groups,
-    small_side,
     with_rank,
+    would_broadcast,
 )
 from claimhound.operators import financial, queues
 from claimhound.sources.derived import derive_claims
@@ -76,30 +75,48 @@ def test_rows_of_groups_matches_null_keys(spark):
     assert [r.v for r in rows_of_groups(df, top, ["a", "b"]).collect()] == [5]
 
 
+NEVER = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    for key, value in NEVER.items():
+        spark.conf.set(key, value)
+    yield
+    for key in NEVER:
+        spark.conf.unset(key)
+
+
 @pytest.mark.parametrize("analysis", [queues.priority_claims, financial.largest_fraud_claims])
-def test_pruned_top_claims_equal_unpruned_ones(spark, sf_dir, monkeypatch, analysis):
+def test_pruned_top_claims_equal_unpruned_ones(spark, sf_dir, analysis, request):
     fa, pr = load_claims(spark, sf_dir), load_registry(spark, sf_dir)
-    orphaned = pr.filter("Provider_ID % 5 = 1")
-    plain = [analysis(fa, r).collect() for r in (pr, orphaned)]
-    monkeypatch.setattr(grouping, "BROADCAST_BYTES", -1)
-    pruned = analysis(fa, pr)
-    assert "scalar-subquery" in pruned._jdf.queryExecution().analyzed().toString()
-    assert [pruned.collect(), analysis(fa, orphaned).collect()] == plain
+    registries = [pr, pr.filter("Provider_ID % 5 = 1"), pr.union(pr), pr.limit(0)]
+    plain = [analysis(fa, r).collect() for r in registries]
+    request.getfixturevalue("no_broadcast")
+    pruned = [analysis(fa, r) for r in registries]
+    assert "scalar-subquery" in pruned[0]._jdf.queryExecution().analyzed().toString()
+    assert [df.collect() for df in pruned] == plain
 
 
-def test_pruning_keeps_all_rows_when_the_best_have_no_match(spark):
+def test_pruning_sets_a_floor_whatever_matches(spark):
     rows = spark.range(3000).selectExpr("id AS k", "CAST(id AS INT) AS s")
     facts = spark.createDataFrame([(5,), (7,)], "k long")
-    kept = prune_before_top(rows, facts, "k", F.col("s"), 3)
-    assert kept.count() == 3000
+    assert prune_before_top(rows, facts, "k", F.col("s"), 3).count() == 3000  # all are needed
+    assert prune_before_top(rows, facts, "k", F.col("s"), 2).count() == 3000 - 5
     enough = spark.createDataFrame([(2999,), (2990,), (2000,), (1,)], "k long")
     kept = prune_before_top(rows, enough, "k", F.col("s"), 2, gain=4)
     assert kept.count() == 3000 - (2990 - 4)
+    tied = spark.range(40).selectExpr("id % 2 AS k", "CAST(id % 4 AS INT) AS s")
+    assert prune_before_top(tied, facts.selectExpr("k - 5 AS k"), "k", F.col("s"), 5).count() == 20
+    unscored = tied.withColumn("s", F.lit(None).cast("int"))
+    assert prune_before_top(unscored, tied.select("k").distinct(), "k", F.col("s"), 5).count() == 40
 
 
-def test_only_a_known_small_side_is_broadcast(spark, sf_dir):
+def test_what_the_session_broadcasts(spark, sf_dir, request):
     small = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    hinted = small_side(small)._jdf.queryExecution().logical().toString()
-    assert "Hint broadcast" in hinted
-    unknown = derive_claims(spark, sf_dir)
-    assert small_side(unknown) is unknown
+    assert would_broadcast(small) and not would_broadcast(derive_claims(spark, sf_dir))
+    request.getfixturevalue("no_broadcast")
+    assert not would_broadcast(small)

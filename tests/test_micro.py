@@ -357,7 +357,7 @@ def test_every_analysis_accepts_empty_claims(spark):
     one_row = {
         "q01b_claims_nulls", "q01f_overpayments", "q01g_unit_mismatches", "q01h1_date_span",
         "q02a_dashboard", "q12a_flag_co_occurrence", "r10_recoverable_loss", "r11_leakage_ratio",
-        "r12_top_provider_share",
+        "r12_top_provider_share", "r18_portfolio_savings",
     }
     for name, analysis in catalog.CLAIMS_ONLY.items():
         want = 1 if name in one_row else 5 if name == "r16_kpi_scorecard" else 0
@@ -379,3 +379,48 @@ def test_weekend_split_and_patterns_label(spark):
         ("Upcoding",),
         ("No Fraud — Legitimate",),
     }
+
+
+TOP = "9999999999.99"
+
+
+def test_totals_beyond_ten_to_the_sixteenth(spark):
+    """The largest legal amount on 1.1 million claims, through every analysis with a money total."""
+    one = claims(spark, {"Fraud_Label": 1, "Fraud_Type": "Upcoding", "Flag_Weekend": 1, "Billed_Amount": TOP,
+                         "Paid_Amount": TOP, "Units_Billed": 2})
+    many = one.crossJoin(spark.range(1_100_000).select(F.col("id"))).drop("id")
+    total = D(TOP) * 1_100_000
+    assert total > 10**16
+    for name, column in {
+        "q03a_fraud_types": "Total_Billed", "r01_state_loss_ratio": "Fraud_Paid", "r02_type_impact": "Fraud_Paid",
+        "r03_top_by_count": "Fraud_Paid", "r09_fourth_quarter": "Fraud_Paid", "r10_recoverable_loss": "Recoverable_Loss",
+        "r11_leakage_ratio": "Total_Paid", "r12_top_provider_share": "Total_Fraud_Paid",
+        "q08d_weekend_providers": "Weekend_Billed", "r18_portfolio_savings": "Total_Paid",
+    }.items():
+        assert catalog.run(name, many, None).first()[column] == total, name
+    assert catalog.run("q07d_overbilled_units", many, None).first()["Est_Overbilled"] == total / 2
+    over = many.withColumn("Billed_Amount", F.lit(0).cast("decimal(12,2)"))
+    assert catalog.run("q01f_overpayments", over, None).first()["Total_Excess_Paid"] == total
+
+
+def test_claims_without_a_date_are_a_period_of_their_own(spark):
+    df = claims(spark, {"Claim_Date": None}, {"Claim_Date": None}, {})
+    assert values(catalog.run("r09_fourth_quarter", df, None), "Period", "Claims") == [("No date", 2), ("Q1-Q3", 1)]
+
+
+def test_analyses_by_name_take_thresholds(spark):
+    fa = claims(spark, *[{"Provider_ID": 1 + i % 2, "Fraud_Label": int(i % 4 == 0)} for i in range(8)])
+    pr = registry(spark, *[{"Provider_ID": i, "Network_Status": "Out-of-Network"} for i in (1, 2)])
+    assert catalog.run("q04d_out_of_network", fa, pr, min_rate=0.6).count() == 0
+    assert catalog.run("q04d_out_of_network", fa, pr, min_rate=0.4).count() == 1
+    assert catalog.run("x01_streamed_scores", fa, pr).count() == 8
+
+
+def test_audit_coverage_with_reviewed_providers(spark):
+    fa = claims(spark, *[{"Provider_ID": i, "Fraud_Label": 1, "Paid_Amount": f"{i}.00"} for i in range(1, 5)])
+    done = spark.createDataFrame([(4,), (4,), (1,), (99,)], "Provider_ID long")
+    got = catalog.run("r19_audit_coverage", fa, None, reviewed=done, n=3)
+    assert values(got, "Provider_ID", "Reviewed", "Coverage_Pct") == [
+        (4, 1, D("33.33")), (3, 0, D("33.33")), (2, 0, D("33.33"))
+    ]
+    assert {r.Reviewed for r in catalog.run("r19_audit_coverage", fa, None).collect()} == {0}

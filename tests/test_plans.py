@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from claimhound.operators import audit, financial, queues, temporal
+from claimhound.operators import audit, financial, kpi, queues, temporal
 from claimhound.plans.catalog import queries
 from claimhound.sources.shared import load_claims, load_registry
 
@@ -46,11 +48,46 @@ def test_no_cartesian_products_or_python_workers(spark, sf_dir):
             assert node not in text, (name, node)
 
 
+def _below(node):
+    """The nodes of an initial plan, from the root, with the path to each."""
+    children = node.children()
+    return [children.apply(i) for i in range(children.size())]
+
+
+REDUCES = ("Aggregate", "Limit", "TakeOrdered")
+
+
+def _unaggregated_single_partitions(node) -> list[str]:
+    """Exchanges into one partition with no aggregation or limit on the way down to a branch or leaf."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return _unaggregated_single_partitions(node.initialPlan())
+    found = []
+    if "SinglePartition" in node.simpleString(500) and "Exchange" in node.nodeName():
+        path = _below(node)
+        while len(path) == 1 and not any(r in path[0].nodeName() for r in REDUCES):
+            path = _below(path[0])
+        if not path:
+            found.append(node.simpleString(500))
+    for child in _below(node):
+        found += _unaggregated_single_partitions(child)
+    return found
+
+
 def test_single_partition_work_only_follows_aggregation(spark, sf_dir):
     """A window without keys may only see aggregated rows or the rows left by a limit."""
     for name, query in queries().items():
-        text = plan(query(spark, sf_dir))
-        for part in text.split("Exchange SinglePartition")[1:]:
-            first = part.split("\n", 2)[1]
-            assert "Aggregate" in first or "Project" in first or "TakeOrdered" in first, name
-            assert "Aggregate" in part, name
+        executed = query(spark, sf_dir)._jdf.queryExecution().executedPlan()
+        assert not _unaggregated_single_partitions(executed), name
+    claims = load_claims(spark, sf_dir)
+    bad = claims.select(F.rank().over(Window.orderBy("Billed_Amount")).alias("r"))
+    assert _unaggregated_single_partitions(bad._jdf.queryExecution().executedPlan())
+
+
+def test_dashboard_pairs_are_distinct_below_the_semi_join(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(kpi.dashboard(load_claims(spark, sf_dir), load_registry(spark, sf_dir)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = text.split("LeftSemi")[1].split("FileScan")[0]
+    assert "HashAggregate" in below and "Patient_ID" in below

@@ -7,7 +7,6 @@ from compare import TABLES, differences, duck
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from claimhound.functions import grouping
 from claimhound.operators.queues import score_claims
 from claimhound.sources.shared import load_claims, load_registry
 
@@ -28,7 +27,10 @@ JOINS_AND_HOT_GROUPS = [
     "q10c_repeat_fraud_patients",
     "q11b_experience",
     "q13a_priority_claims",
+    "q08b_ring_types",
     "r06_peer_benchmark",
+    "r17_quarterly_peers",
+    "r19_audit_coverage",
 ]
 
 
@@ -58,11 +60,9 @@ def shuffled(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
     }
-    limit, grouping.BROADCAST_BYTES = grouping.BROADCAST_BYTES, -1
     for key, value in settings.items():
         spark.conf.set(key, value)
     yield
-    grouping.BROADCAST_BYTES = limit
     for key in settings:
         spark.conf.unset(key)
 
