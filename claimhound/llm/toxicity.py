@@ -149,11 +149,9 @@ class Model:
         return logits
 
 
-def _instances(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all windows in order, where each window begins, its text, and texts by bucket."""
+def _windows_of(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A run of texts at a time: buckets of all windows in order, their number per window, its text."""
     data, offsets = utf8(pa.array(texts, pa.string()))
-    flat, sizes, owner = [], [], []
-    used_by = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
     for lo, hi in pieces(offsets, TRAIN_BYTES):
         b = bag(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         if not len(b.starts):
@@ -169,20 +167,31 @@ def _instances(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         a, z = np.searchsorted(word, start), np.searchsorted(word, end)
         n = z - a
         at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        each = np.unique(np.repeat(text, n) << BUCKET_BITS | buckets[at])
+        yield buckets[at], n, text + lo
+
+
+def _instances(texts: list[str], min_texts: int) -> tuple:
+    """Places of known buckets for all windows in order, windows' sizes and texts, known buckets.
+
+    A bucket is known if ``min_texts`` texts use it; the others' place is the
+    one after the last. Two passes, so that only the result is ever held.
+    """
+    sizes, owner = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    used_by = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    for buckets, n, text in _windows_of(texts):
+        each = np.unique(np.repeat(text, n) << BUCKET_BITS | buckets)
         used_by += np.bincount(each & ((1 << BUCKET_BITS) - 1), minlength=len(used_by))
-        flat.append(buckets[at])
         sizes.append(n)
-        owner.append(text + lo)
-    if not flat:
-        none = np.zeros(0, dtype=np.int64)
-        return none.astype(np.int32), np.zeros(1, dtype=np.int64), none, used_by
-    return (
-        np.concatenate(flat),
-        np.concatenate(([0], np.cumsum(np.concatenate(sizes)))),
-        np.concatenate(owner),
-        used_by,
-    )
+        owner.append(text)
+    known = np.flatnonzero(used_by >= min_texts)
+    place = np.full(1 << BUCKET_BITS, len(known), dtype=np.int32)
+    place[known] = np.arange(len(known))
+    sizes, filled = np.concatenate(sizes), 0
+    flat = np.empty(int(sizes.sum()), dtype=np.int32)
+    for buckets, _, _ in _windows_of(texts):
+        flat[filled : filled + len(buckets)] = place[buckets]
+        filled += len(buckets)
+    return flat, sizes, np.concatenate(owner), known
 
 
 def train(
@@ -206,12 +215,11 @@ def train(
     if not len(label) or label.min() == label.max():
         share = float(label.mean()) if len(label) else 0.0
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), 500.0 if share else -500.0)
-    flat, at, owner, used_by = _instances(texts)
-    sizes = np.diff(at)
-    known = np.flatnonzero(used_by >= min_texts)
-    place = np.full(1 << BUCKET_BITS, len(known), dtype=np.int32)  # the last vector stays zero
-    place[known] = np.arange(len(known))
-    flat = place[flat]
+    flat, sizes, owner, known = _instances(texts, min_texts)
+    if not len(owner):  # no text has a word
+        odds = float(np.log(label.mean() / (1 - label.mean())))
+        return Model(np.zeros(1 << BUCKET_BITS, np.float32), odds)
+    at = np.concatenate(([0], np.cumsum(sizes)))
     rng = np.random.default_rng(SEED)
     vectors = rng.normal(0, 1e-3, (len(known) + 1, dimensions)).astype(np.float32)
     vectors[-1] = 0

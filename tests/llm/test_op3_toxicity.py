@@ -85,3 +85,5 @@ def test_odd_rows_and_tables(spark):
     assert max(r.score for r in toxicity_scores(df, toxicity_model(df, none)).collect()) < 1e-9
     only = spark.createDataFrame([(1, 1, 1)], none.schema)
     assert toxicity_model(df, only).scores(*utf8(pa.array(["a", ""]))).min() > 0.99
+    wordless = train(["", " ", None, ""], [1, 0, 0, 0])
+    assert np.allclose(wordless.scores(*utf8(pa.array(["", "word"]))), 0.25)
