@@ -5,8 +5,8 @@ ignores those between, so two passages still meet where some words were
 replaced. Hashes of all benchmark positions form an index. Every position of
 every document is tested against a Bloom filter of fixed size made from the
 index; what passes is joined with the index itself. Hits of one document and
-item are gathered by diagonal, and along each diagonal the longest stretch is
-verified in which at least ``SIMILARITY`` of the words agree.
+item are gathered by diagonal, and along each diagonal the stretch with most
+agreeing words is verified in which at least ``SIMILARITY`` of the words agree.
 
 Words are as in ``words.py``. Cases: null and empty texts have no words and no
 hits; benchmark items with fewer words than the shortest seed are not searched;
@@ -19,6 +19,7 @@ benchmark or table gives no overlaps; extra columns are carried by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from claimhound.llm.words import mixed, pieces, utf8, word_hashes
 SEEDS = ("11111", "1101101", "11010011", "1100100101")
 MIN_WORDS = 10
 SIMILARITY = 0.8
+#: The same as a fraction, so that a stretch of exactly this share is told in integers.
+SHARE = Fraction(SIMILARITY).limit_denominator(1000)
 
 
 def seed_hashes(words: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -143,9 +146,35 @@ def candidates(docs: DataFrame, filter_bits: np.ndarray) -> DataFrame:
     return source.mapInArrow(rows, schema).dropDuplicates(["doc_key"])
 
 
-def longest_stretch(same: np.ndarray) -> tuple[int, int, int]:
+def most_agreeing(same: np.ndarray) -> tuple[int, int, int]:
     """Start, end and agreeing words of the best stretch along a diagonal.
 
+    Of all stretches in which ``SIMILARITY`` of the words agree, one with most
+    agreeing words, the shortest and then the first of these. For every end the
+    earliest start counts whose running sum is not above the end's: it is the
+    first place where the running minimum is not.
+    """
+    gain = np.where(same, SHARE.denominator - SHARE.numerator, -SHARE.numerator)
+    sums = np.concatenate(([0], np.cumsum(gain)))
+    agreeing = np.concatenate(([0], np.cumsum(same)))
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    counts = agreeing - agreeing[starts]
+    most = int(counts.max())
+    if not most:
+        return 0, 0, 0
+    places = np.flatnonzero(same)
+    ends = np.flatnonzero(counts == most)
+    first, last = places[agreeing[starts[ends]]], places[agreeing[ends] - 1]
+    k = int(np.argmin(last - first))
+    return int(first[k]), int(last[k]) + 1, most
+
+
+def longest_stretch(same: np.ndarray) -> tuple[int, int, int]:
+    """Start, end and agreeing words of the stretch of the largest sum along a diagonal.
+
+    It stops before a replaced word that few agreeing ones follow, so it does
+    not decide what overlaps; ``most_agreeing`` does.
+
     An agreeing word counts 1, any other so much less than 0 that a stretch
     with exactly ``SIMILARITY`` of agreement sums to 0; the largest sum wins.
     """
@@ -187,7 +216,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORD
                 best = (0, 0, 0, 0)
                 for d in sorted(r["diagonals"]):
                     lo, hi = max(0, -d), min(len(item), len(doc) - d)
-                    start, end, same = longest_stretch(doc[lo + d : hi + d] == item[lo:hi])
+                    start, end, same = most_agreeing(doc[lo + d : hi + d] == item[lo:hi])
                     if same > best[0]:
                         best = (same, lo + d + start, lo + start, end - start)
                 if best[0] >= min(min_words, len(item)):

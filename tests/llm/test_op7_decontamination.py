@@ -5,7 +5,9 @@ import re
 
 import numpy as np
 
-from claimhound.llm.decontamination import longest_stretch, op7_spaced_seeds, overlaps, without_overlaps
+from claimhound.llm.decontamination import (
+    longest_stretch, most_agreeing, op7_spaced_seeds, overlaps, without_overlaps,
+)
 
 DOC = "doc_id long, text string, doc_key long, row int"
 ITEM = "item_id long, text string, words int"
@@ -67,6 +69,50 @@ def test_best_stretch_is_maximal():
         assert gain(start, end) == best and n == same[start:end].sum() and (not n or n >= 0.8 * (end - start))
 
 
+def best_by_brute_force(same):
+    """Agreeing words and length of the best stretch, over all stretches."""
+    sums = np.concatenate(([0], np.cumsum(same)))
+    each = [(int(sums[b] - sums[a]), a - b) for a in range(len(same)) for b in range(a + 1, len(same) + 1)]
+    n, length = max(x for x in each if 5 * x[0] >= -4 * x[1])
+    return n, -length
+
+
+def test_most_agreeing_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for k in range(300):
+        same = rng.random(rng.integers(12, 61)) >= rng.uniform(0.01, 0.2) * (1 + k % 3)
+        start, end, n = most_agreeing(same)
+        assert (n, end - start) == best_by_brute_force(same) and n == same[start:end].sum()
+    assert most_agreeing(np.zeros(7, bool)) == most_agreeing(np.zeros(0, bool)) == (0, 0, 0)
+    assert most_agreeing(np.arange(50) % 5 != 4) == (0, 49, 40)
+    assert most_agreeing(np.arange(15) % 5 != 2) == (0, 15, 12)  # exactly 0.8
+    assert most_agreeing(np.array([0, 1, 1, 1, 1, 0], bool)) == (1, 5, 4)
+
+
+def test_replaced_words_do_not_shorten_a_stretch(spark):
+    """Copies alike by 80 % or more with few agreeing words between replaced ones, and random ones."""
+    rng = random.Random(8)
+    shapes = [[8, 4], [9, 4], [4, 4, 4], [4] * 10]
+    masks = [[j for n in s for j in [1] * n + [0]][:-1] for s in shapes]
+    for n in range(12, 61):
+        gone = set(rng.sample(range(n), rng.randint(1, n // 5)))
+        masks.append([int(k not in gone) for k in range(n)])
+    items, rows = [], []
+    for i, mask in enumerate(masks):
+        item = [f"w{i}x{k}" for k in range(len(mask))]
+        items.append((i, " ".join(item)))
+        copy = [w if same else f"s{k}y{i}" for k, (w, same) in enumerate(zip(item, mask, strict=True))]
+        rows.append((i, " ".join(["before"] * 5 + copy + ["after"] * 5)))
+    want = {}
+    for i, mask in enumerate(masks):
+        n, length = best_by_brute_force(np.array([0, *mask, 0], bool))
+        if n >= 10:
+            want[i, i] = (n, length)
+    found = overlaps(docs_of(spark, rows), items_of(spark, items)).collect()
+    assert len(want) == len(masks)
+    assert {(r.doc_id, r.item_id): (r.n_same, r.n_words) for r in found} == want
+
+
 def test_odd_rows_and_tables(spark):
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     rows = [(1, None), (2, ""), (None, passage), (3, passage), (3, passage), (4, "other words " * 500), (5, "alpha beta gamma delta epsilon zeta")]
