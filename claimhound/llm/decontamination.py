@@ -9,8 +9,9 @@ item are gathered by diagonal, and along each diagonal the stretch with most
 agreeing words is verified in which at least ``SIMILARITY`` of the words agree.
 
 Words are as in ``words.py``. Cases: null and empty texts have no words and no
-hits; benchmark items with fewer words than the shortest seed are not searched;
-a stretch must agree in ``MIN_WORDS`` words, or in a shorter item as a whole;
+hits; a stretch must agree in ``MIN_WORDS`` words, or in ``SIMILARITY`` of an
+item's words if those are fewer, so items of under five words agree as a whole;
+items of up to ten words have further seeds, which are not used without them;
 repeated documents are one document and repeated items give a row each; an empty
 benchmark or table gives no overlaps; extra columns are carried by
 ``without_overlaps`` and otherwise not read.
@@ -18,8 +19,9 @@ benchmark or table gives no overlaps; extra columns are carried by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from fractions import Fraction
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +33,30 @@ from claimhound.llm.staging import staged, table
 from claimhound.llm.words import mixed, pieces, utf8, word_hashes
 
 SEEDS = ("11111", "1101101", "11010011", "1100100101")
+#: A copy of five to ten words with a fifth of them replaced may hold none of ``SEEDS``, but one of these.
+SHORT_SEEDS = ("1111", "10111", "11011", "11101")
+#: Under five words, where no word may be replaced, the whole item is the seed.
+WHOLE_ITEMS = ("1", "11", "111", "1111")
+ANY_LENGTH = 1 << 62
+#: Each seed, and the least and most words of the items that it searches.
+ALL_SEEDS = (
+    *((s, 5, ANY_LENGTH) for s in SEEDS),
+    *((s, 5, 10) for s in SHORT_SEEDS),
+    *((s, len(s), len(s)) for s in WHOLE_ITEMS),
+)
 MIN_WORDS = 10
 SIMILARITY = 0.8
 #: The same as a fraction, so that a stretch of exactly this share is told in integers.
 SHARE = Fraction(SIMILARITY).limit_denominator(1000)
 
 
-def seed_hashes(words: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each seed: its hash at each place where it fits in a text, and those places."""
+def seed_hashes(
+    words: np.ndarray, first: np.ndarray, used: Sequence[int]
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each used seed: its number, its hash where it fits in a text, and those places."""
     text_end = np.repeat(first[1:], np.diff(first))
-    for k, seed in enumerate(SEEDS):
+    for k in used:
+        seed = ALL_SEEDS[k][0]
         n = len(words) - len(seed) + 1
         if n <= 0:
             continue
@@ -49,11 +65,11 @@ def seed_hashes(words: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarr
             if bit == "1":
                 h = (h ^ words[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         fits = np.flatnonzero(np.arange(n) + len(seed) <= text_end[:n])
-        yield mixed(h[fits]), fits
+        yield k, mixed(h[fits]), fits
 
 
 def benchmark_words(benchmark: DataFrame) -> DataFrame:
-    """item_id, words (binary, 8 bytes each) of the items that can be searched."""
+    """item_id, words (binary, 8 bytes each) of the items that have words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,21 +81,31 @@ def benchmark_words(benchmark: DataFrame) -> DataFrame:
 
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     found = items.mapInArrow(rows, "item_id long, words binary")
-    shortest = min(map(len, SEEDS))
-    found = found.where(F.octet_length("words") >= 8 * shortest)
+    found = found.where(F.octet_length("words") > 0)
     return found.withColumn("item_key", F.xxhash64("item_id", "words"))
 
 
-def seed_index(items: DataFrame) -> DataFrame:
-    """hash, item_key, item_at of every seed at every place of every item."""
+def seeds_used(items: DataFrame) -> list[int]:
+    """The numbers of the seeds that search any of the items, told by at most eleven lengths."""
+    n_words = F.least(F.octet_length("words") / 8, F.lit(11)).cast("int").alias("n")
+    lengths = [r.n for r in items.select(n_words).distinct().collect()]
+    return [k for k, (_, lo, hi) in enumerate(ALL_SEEDS) if any(lo <= n <= hi for n in lengths)]
+
+
+def seed_index(items: DataFrame, used: Sequence[int]) -> DataFrame:
+    """hash, item_key, item_at of every seed at every place of every item that it searches."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column("words"))
             first = at // 8
             keys = batch.column("item_key").to_numpy()
-            for h, places in seed_hashes(data.view(np.uint64), first):
+            for k, h, places in seed_hashes(data.view(np.uint64), first, used):
                 item = np.searchsorted(first, places, side="right") - 1
+                _, least, most = ALL_SEEDS[k]
+                n_words = np.diff(first)[item]
+                searched = (n_words >= least) & (n_words <= most)
+                h, places, item = h[searched], places[searched], item[searched]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h.view(np.int64)),
@@ -97,15 +123,33 @@ def _doc_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
 
 
-def candidates(docs: DataFrame, filter_bits: np.ndarray) -> DataFrame:
-    """Documents that pass the filter somewhere: doc_key, doc_id, words, hashes, places."""
+def first_of_each(h: np.ndarray, places: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where each hash of a text stands first in it."""
+    text = np.searchsorted(first, places, side="right") - 1
+    order = np.lexsort((places, h, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return order[new]
+
+
+def candidates(docs: DataFrame, filter_bits: np.ndarray, used: Sequence[int]) -> DataFrame:
+    """Documents that pass the filter somewhere: doc_key, doc_id, words, hashes, places.
+
+    A hash of a whole item tells all of its overlap, so its first place in a
+    document is enough, however common the item's words are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(filter_bits)
 
     def passed(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits, found = shared.value, []
-        for h, places in seed_hashes(words, first):
+        for k, h, places in seed_hashes(words, first, used):
             hit = may_hold(bits, h)
-            found.append((h[hit], places[hit]))
+            h, places = h[hit], places[hit]
+            if k >= len(SEEDS) + len(SHORT_SEEDS):
+                once = first_of_each(h, places, first)
+                h, places = h[once], places[once]
+            found.append((h, places))
         if not found:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         h, places = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -193,8 +237,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORD
     stretch, in words; ``n_same`` of its ``n_words`` agree.
     """
     items = staged(benchmark_words(benchmark), "benchmark-words")
-    index = staged(seed_index(items), "benchmark-seeds")
-    found = staged(candidates(docs, bloom_filter(index, "hash")), "seed-hits")
+    used = seeds_used(items)
+    index = staged(seed_index(items, used), "benchmark-seeds")
+    found = staged(candidates(docs, bloom_filter(index, "hash"), used), "seed-hits")
     hits = found.select("doc_key", F.explode(F.arrays_zip("hashes", "places")).alias("hit"))
     hits = hits.select("doc_key", F.col("hit.hashes").alias("hash"), F.col("hit.places").alias("at"))
     lines = (
@@ -219,7 +264,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORD
                     start, end, same = most_agreeing(doc[lo + d : hi + d] == item[lo:hi])
                     if same > best[0]:
                         best = (same, lo + d + start, lo + start, end - start)
-                if best[0] >= min(min_words, len(item)):
+                    if same == len(item):
+                        break
+                if best[0] >= min(min_words, ceil(SHARE * len(item))):
                     rows.append(
                         dict(
                             doc_key=r["doc_key"], doc_id=r["doc_id"], item_id=r["item_id"],

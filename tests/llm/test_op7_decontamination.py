@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
@@ -113,6 +114,28 @@ def test_replaced_words_do_not_shorten_a_stretch(spark):
     assert {(r.doc_id, r.item_id): (r.n_same, r.n_words) for r in found} == want
 
 
+def test_short_items(spark):
+    """Every way to replace words of an item of up to 11 words while 80 % agree, and one word more."""
+    items, rows, want = [], [], set()
+    for n in range(1, 12):
+        item = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for gone in (c for r in range(n // 5 + 2) for c in itertools.combinations(range(n), r)):
+            copy = [f"s{k}" if k in gone else w for k, w in enumerate(item)]
+            doc = len(rows)
+            rows.append((doc, " ".join(["before", *copy, "after"])))
+            inner = np.array([k not in gone for k in range(n)])
+            agreeing, _ = best_by_brute_force(inner) if inner.any() else (0, 0)
+            if agreeing >= min(10, -(-4 * n // 5)):
+                want.add((doc, n))
+    rows += [(len(rows), "w1x0 between " * 300), (len(rows) + 1, "w2x1 w2x0 w3x0 w3x1")]
+    want.add((len(rows) - 2, 1))
+    found = overlaps(docs_of(spark, rows), items_of(spark, items)).collect()
+    assert len(found) == len(want) and {(r.doc_id, r.item_id) for r in found} == want
+    assert {n for _, n in want} == set(range(1, 12))
+    assert all(r.n_same >= 0.8 * r.n_words for r in found)
+
+
 def test_odd_rows_and_tables(spark):
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     rows = [(1, None), (2, ""), (None, passage), (3, passage), (3, passage), (4, "other words " * 500), (5, "alpha beta gamma delta epsilon zeta")]
