@@ -12,7 +12,7 @@ every window of a clean document is clean; of a toxic one, first all its windows
 count as toxic, then those that the model itself finds worst.
 
 Only the training sample is bounded (``toxic_rows`` and ``clean_rows``, the first
-by a hash, of at most ``train_chars`` characters). Scoring is one pass over all
+by a hash, among labelled documents of at most ``train_chars`` characters). Scoring is one pass over all
 texts without a shuffle: as everything is linear, an embedding and the softmax
 fold into one number per bucket, and windows are differences of running sums.
 
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from claimhound.llm.staging import table
+from claimhound.llm.staging import staged, table
 from claimhound.llm.words import IS_SPACE, hashes, pieces, spans, utf8
 
 BUCKET_BITS = 18
@@ -309,20 +309,29 @@ def training_sample(
 ) -> tuple[list[str], list[int]]:
     """At most so many texts of each label, the first by a hash of doc_id.
 
-    The sampled ids are a table of at most so many rows, so it is broadcast,
-    and the documents are read in one pass.
+    Labels meet the ids of the short documents before they are limited, so that
+    those of other documents take no room in the sample. Repeats of one doc_id
+    and text are one row. Only the keys of labelled documents are written; the
+    sampled ones are a table of at most so many rows, so it is broadcast, and
+    their texts alone are collected.
     """
     known = labels.where(in_training(F.col("doc_id")) & F.col("toxic").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
+    short = docs.select("doc_id", "text").where(
+        in_training(F.col("doc_id")) & (F.length("text") <= train_chars)
+    )
+    short = short.withColumn("text_key", F.xxhash64("text"))
+    usable = short.select("doc_id", "text_key").distinct().join(known, "doc_id")
+    usable = staged(usable, "labelled-documents")
+    order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("text_key")]
     wanted = [
-        known.where(F.col("toxic") == k).orderBy(*order).limit(n)
+        usable.where(F.col("toxic") == k).orderBy(*order).limit(n)
         for k, n in enumerate((clean_rows, toxic_rows))
     ]
-    ids = wanted[0].unionByName(wanted[1])
-    short = docs.select("doc_id", "text").where(F.length("text") <= train_chars)
-    rows = short.join(F.broadcast(ids), "doc_id").collect()
-    rows = sorted({(r.doc_id, r.text, r.toxic) for r in rows})
+    picked = wanted[0].unionByName(wanted[1])
+    rows = short.join(F.broadcast(picked), ["doc_id", "text_key"])
+    rows = rows.select("doc_id", "text", "toxic").distinct().collect()
+    rows = sorted((r.doc_id, r.text, r.toxic) for r in rows)
     return [r[1] for r in rows], [r[2] for r in rows]
 
 

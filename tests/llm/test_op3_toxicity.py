@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from claimhound.llm.toxicity import (
     BUCKET_BITS, Model, bag, in_training, op3_subword_toxicity, toxicity_model, toxicity_scores,
-    train, windows, without_toxic,
+    train, training_sample, windows, without_toxic,
 )
 from claimhound.llm.words import utf8
 
@@ -87,3 +87,19 @@ def test_odd_rows_and_tables(spark):
     assert toxicity_model(df, only).scores(*utf8(pa.array(["a", ""]))).min() > 0.99
     wordless = train(["", " ", None, ""], [1, 0, 0, 0])
     assert np.allclose(wordless.scores(*utf8(pa.array(["", "word"]))), 0.25)
+
+
+def test_sample_is_taken_from_usable_rows(spark):
+    """Labels of documents that are absent or too long take no room, and repeats are one row."""
+    usable = [i for i in range(4000) if i % 10 in (3, 4)]
+    rows = [(i, f"text {i}") for i in usable] + [(i, "long " * 50) for i in range(4000) if i % 10 in (5, 6)]
+    rows += [(usable[0], f"text {usable[0]}")] * 300 + [(usable[1], "another text")] * 300 + [(None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(4000)], "doc_id long, quality int, toxic int")
+    learnable = {r.doc_id for r in labels.where(in_training(labels.doc_id)).collect()} & set(usable)
+    texts, toxic = training_sample(docs, labels, 120, 150, 100)
+    assert len(texts) == len(set(texts)) == 270 and sum(toxic) == 120
+    assert all(t == "another text" or int(t.split()[1]) in learnable for t in texts)
+    texts, toxic = training_sample(docs, labels, 10_000, 10_000, 100)
+    more = ["another text"] * (usable[1] in learnable)
+    assert sorted(texts) == sorted([f"text {i}" for i in learnable] + more)
