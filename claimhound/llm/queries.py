@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from claimhound.llm.chat import OP5_SQL, op5_relational_chat
+from claimhound.llm.collocations import OP12_SQL, op12_prefix_free
 from claimhound.llm.decontamination import op7_spaced_seeds
 from claimhound.llm.html_cut import op10_minimum_cut
 from claimhound.llm.jaccard import op6_heavy_light_join
@@ -26,6 +27,7 @@ QUERIES = {
         op8_guess_cost,
         op9_small_world,
         op10_minimum_cut,
+        op12_prefix_free,
     )
 }
-ORACLE_SQL = {"op1_poisson_mix": OP1_SQL, "op5_relational_chat": OP5_SQL}
+ORACLE_SQL = {"op1_poisson_mix": OP1_SQL, "op5_relational_chat": OP5_SQL, "op12_prefix_free": OP12_SQL}
