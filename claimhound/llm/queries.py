@@ -13,6 +13,7 @@ from claimhound.llm.secrets import op8_guess_cost
 from claimhound.llm.token_counts import op4_length_histogram
 from claimhound.llm.token_files import op2_wavelet_tokens
 from claimhound.llm.toxicity import op3_subword_toxicity
+from claimhound.llm.turn_repair import op11_survivors
 
 QUERIES = {
     f.__name__: f
@@ -27,6 +28,7 @@ QUERIES = {
         op8_guess_cost,
         op9_small_world,
         op10_minimum_cut,
+        op11_survivors,
         op12_prefix_free,
     )
 }
