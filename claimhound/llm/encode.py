@@ -1,11 +1,17 @@
 """Token ids of whole texts with the tokenizers library, in Arrow batches.
 
-Where the tokenizer lower-cases and never lets a token cross white space, or a
-boundary between ASCII letters, digits and punctuation (``by_piece``), a text's
-ids are the ids of those pieces in order, so each different piece is encoded
-once and the rest is gathering. The apostrophe, ``<``, ``|``, ``>`` and all
-bytes beyond ASCII never end a piece: contractions, special tokens, combining
-marks and symbols stay whole.
+Where no token crosses certain places in a text, its ids are the ids of the
+pieces between them in order, so each different piece is encoded once and the
+rest is gathering. Two of the tokenizers are known that well:
+
+- ``word_bpe_49k`` lower-cases, drops white space, and splits at it, at every
+  ASCII digit and between ASCII letters, digits and punctuation.
+- ``byte_bpe_50k`` keeps white space, which goes before the piece that follows
+  it, and runs of digits. A piece ends before white space only after a printable
+  ASCII byte or a letter from U+00C0 to U+00FF, which no white space ends in.
+
+The apostrophe, ``<``, ``|``, ``>`` and other bytes beyond ASCII never end a
+piece: contractions, special tokens, combining marks and symbols stay whole.
 """
 
 from __future__ import annotations
@@ -20,10 +26,12 @@ import pyarrow as pa
 from claimhound.llm.words import utf8
 
 WORD_BPE = "word_bpe_49k.json"
-BY_PIECE = frozenset({WORD_BPE})
+BYTE_BPE = "byte_bpe_50k.json"
+BY_PIECE = frozenset({WORD_BPE, BYTE_BPE})
+KEEP_SPACE = frozenset({BYTE_BPE})
 TEXTS_A_CALL = 4096
-#: Pieces a worker remembers (about 150 bytes each); when full, it starts anew.
-MOST_KEPT_PIECES = 400_000
+#: Pieces in each of the two generations that a worker remembers (about 170 bytes each).
+MOST_KEPT_PIECES = 350_000
 
 SPACE, LETTER, DIGIT, MARK, WHOLE = range(5)
 
@@ -39,6 +47,21 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
+#: After these ASCII bytes a piece may end before white space.
+PRINTABLE = np.zeros(256, dtype=bool)
+PRINTABLE[0x21:0x7F] = True
+#: Lead byte of U+00C0 to U+00FF, all letters or signs.
+LATIN = 0xC3
+
+
+def _byte_names() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_NAMES = _byte_names()
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -69,6 +92,10 @@ class _Kept:
         self.starts[n + 1 : n + 1 + len(each)] = ends
         self.places.update(zip(pieces, range(n, n + len(each)), strict=True))
 
+    def ids(self, places: list[int]) -> list[list[int]]:
+        starts, flat = self.starts, self.flat
+        return [flat[starts[k] : starts[k + 1]].tolist() for k in places]
+
 
 def _grown(a: np.ndarray, size: int) -> np.ndarray:
     return a if size <= len(a) else np.resize(a, max(size, 2 * len(a)))
@@ -87,7 +114,8 @@ class Encoder:
         path = name if os.path.sep in name else public_tokenizers.path(name)
         self.tokenizer = _tokenizer(path)
         self.by_piece = name in BY_PIECE if by_piece is None else by_piece
-        self.kept = _Kept()
+        self.keep_space = name in KEEP_SPACE
+        self.kept, self.older = _Kept(), _Kept()
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         out = []
@@ -99,23 +127,53 @@ class Encoder:
         return out
 
     def _pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Plain lower-case letters need no normalizer, only the model."""
+        """A piece that is a single word needs no normalizer or splitting, only the model."""
         tokenize = self.tokenizer.model.tokenize
-        plain = [p.isascii() and p.isalpha() for p in pieces]
-        rest = iter(self._whole([p for p, x in zip(pieces, plain, strict=True) if not x]))
-        return [
-            [t.id for t in tokenize(p)] if x else next(rest)
-            for p, x in zip(pieces, plain, strict=True)
-        ]
+        words = [self._word(p) for p in pieces]
+        rest = iter(self._whole([p for p, w in zip(pieces, words, strict=True) if w is None]))
+        return [next(rest) if w is None else [t.id for t in tokenize(w)] for w in words]
+
+    def _word(self, piece: str) -> str | None:
+        """``piece`` as the model reads it, if it is plain letters (after one blank, where kept)."""
+        if not self.keep_space:
+            return piece if piece.isascii() and piece.isalpha() else None
+        letters = piece[1:] if piece[0] == " " else piece
+        if not letters.isalpha():
+            return None
+        if piece.isascii():
+            return "\u0120" + letters if piece[0] == " " else piece
+        return piece.encode().decode("latin-1").translate(BYTE_NAMES) if max(piece) <= "\xff" else None
 
     def _places(self, pieces: list[str]) -> np.ndarray:
+        """Where the kept generation has each piece. A full one becomes the older,
+
+        from which pieces that are still met move on; the rest of it goes with the next.
+        """
         new = [p for p in pieces if p not in self.kept.places]
-        if len(self.kept.places) + len(new) > MOST_KEPT_PIECES:
-            self.kept, new = _Kept(), pieces
+        if new and self.kept.places and len(self.kept.places) + len(new) > MOST_KEPT_PIECES:
+            self.kept, self.older, new = _Kept(), self.kept, pieces
         if new:
+            older = self.older.places
+            known = [p for p in new if p in older]
+            if known:
+                self.kept.add(known, self.older.ids([older[p] for p in known]))
+                new = [p for p in new if p not in older]
             self.kept.add(new, self._pieces(new))
         return np.fromiter(map(self.kept.places.__getitem__, pieces), np.int64, len(pieces))
 
+    def _split(self, data: np.ndarray, kind: np.ndarray, solid: np.ndarray) -> np.ndarray:
+        """Whether a piece may begin at each byte, whatever the texts' bounds."""
+        split = np.ones(len(data), dtype=bool)
+        a, b = kind[:-1], kind[1:]
+        inner = (a != WHOLE) & (b != WHOLE)
+        if not self.keep_space:
+            split[1:] = (a == SPACE) | (((a != b) | (a == DIGIT)) & inner)
+            return split & solid
+        ended = PRINTABLE[data[:-1]]
+        ended[1:] |= data[:-2] == LATIN
+        split[1:] = np.where(b == SPACE, ended & (a != SPACE), (a != b) & inner & (a != SPACE))
+        return split
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text. Null texts are empty."""
         if not self.by_piece:
@@ -127,18 +185,19 @@ class Encoder:
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
         kind = CLASSES[data]
         solid = kind != SPACE
-        split = np.ones(len(data), dtype=bool)
-        a, b = kind[:-1], kind[1:]
-        split[1:] = (a == SPACE) | (
-            ((a != b) | (a == DIGIT)) & (a != WHOLE) & (b != WHOLE)
-        )
-        split[offsets[:-1][offsets[:-1] < len(data)]] = True
-        split &= solid
-        inner = np.concatenate(([0], np.cumsum(solid, dtype=np.int32)))
-        at = np.flatnonzero(split)
-        bounds = np.append(inner[at], inner[-1]).astype(np.int32)
+        split = self._split(data, kind, solid)
+        begins = offsets[:-1][offsets[:-1] < len(data)]
+        if self.keep_space:
+            split[begins] = True
+            at = np.flatnonzero(split)
+            bounds, flat = np.append(at, len(data)).astype(np.int32), np.ascontiguousarray(data)
+        else:
+            split[begins] |= solid[begins]
+            at = np.flatnonzero(split)
+            inner = np.concatenate(([0], np.cumsum(solid, dtype=np.int32)))
+            bounds, flat = np.append(inner[at], inner[-1]).astype(np.int32), LOWER[data[solid]]
         coded = pa.StringArray.from_buffers(
-            len(at), pa.py_buffer(bounds), pa.py_buffer(LOWER[data[solid]])
+            len(at), pa.py_buffer(bounds), pa.py_buffer(flat)
         ).dictionary_encode()
         places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         starts = self.kept.starts[places]

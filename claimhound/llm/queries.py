@@ -9,6 +9,7 @@ from claimhound.llm.html_cut import op10_minimum_cut
 from claimhound.llm.jaccard import op6_heavy_light_join
 from claimhound.llm.mixing import OP1_SQL, op1_poisson_mix
 from claimhound.llm.neighbours import op9_small_world
+from claimhound.llm.packing import op13_shortest_pack
 from claimhound.llm.secrets import op8_guess_cost
 from claimhound.llm.token_counts import op4_length_histogram
 from claimhound.llm.token_files import op2_wavelet_tokens
@@ -30,6 +31,7 @@ QUERIES = {
         op10_minimum_cut,
         op11_survivors,
         op12_prefix_free,
+        op13_shortest_pack,
     )
 }
 ORACLE_SQL = {"op1_poisson_mix": OP1_SQL, "op5_relational_chat": OP5_SQL, "op12_prefix_free": OP12_SQL}
