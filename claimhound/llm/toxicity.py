@@ -12,8 +12,10 @@ every window of a clean document is clean; of a toxic one, first all its windows
 count as toxic, then those that the model itself finds worst.
 
 Only the training sample is bounded (``toxic_rows`` and ``clean_rows``, the first
-by a hash, among labelled documents of at most ``train_chars`` characters). Scoring is one pass over all
-texts without a shuffle: as everything is linear, an embedding and the softmax
+by a hash, among labelled documents of at most ``train_chars`` characters, and
+``total_chars`` of them all). One task learns from it and hands the driver the
+model, which has a fixed size. Scoring is one pass over all texts without a
+shuffle: as everything is linear, an embedding and the softmax
 fold into one number per bucket, and windows are differences of running sums.
 
 Cases: null and empty texts have no window and get the score of the bias alone;
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -305,15 +307,15 @@ def in_training(doc_id: Column) -> Column:
 
 
 def training_sample(
-    docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int, train_chars: int
-) -> tuple[list[str], list[int]]:
-    """At most so many texts of each label, the first by a hash of doc_id.
+    docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int, train_chars: int, total_chars: int
+) -> DataFrame:
+    """doc_id, text, toxic: at most so many texts of each label, the first by a hash of doc_id.
 
     Labels meet the ids of the short documents before they are limited, so that
     those of other documents take no room in the sample. Repeats of one doc_id
-    and text are one row. Only the keys of labelled documents are written; the
-    sampled ones are a table of at most so many rows, so it is broadcast, and
-    their texts alone are collected.
+    and text are one row. Each label's texts hold half of ``total_chars`` at
+    most. Only the keys of labelled documents are written; the sampled ones are
+    a table of at most so many rows, so it is broadcast.
     """
     known = labels.where(in_training(F.col("doc_id")) & F.col("toxic").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -321,18 +323,19 @@ def training_sample(
         in_training(F.col("doc_id")) & (F.length("text") <= train_chars)
     )
     short = short.withColumn("text_key", F.xxhash64("text"))
-    usable = short.select("doc_id", "text_key").distinct().join(known, "doc_id")
+    chars = F.length("text").alias("chars")
+    usable = short.select("doc_id", "text_key", chars).distinct().join(known, "doc_id")
     usable = staged(usable, "labelled-documents")
     order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("text_key")]
+    so_far = F.sum("chars").over(Window.orderBy(*order))  # over the limited rows alone
     wanted = [
         usable.where(F.col("toxic") == k).orderBy(*order).limit(n)
+        .withColumn("so_far", so_far).where(F.col("so_far") <= total_chars // 2)
         for k, n in enumerate((clean_rows, toxic_rows))
-    ]
-    picked = wanted[0].unionByName(wanted[1])
+    ]
+    picked = wanted[0].unionByName(wanted[1]).select("doc_id", "text_key", "toxic")
     rows = short.join(F.broadcast(picked), ["doc_id", "text_key"])
-    rows = rows.select("doc_id", "text", "toxic").distinct().collect()
-    rows = sorted((r.doc_id, r.text, r.toxic) for r in rows)
-    return [r[1] for r in rows], [r[2] for r in rows]
+    return rows.select("doc_id", "text", "toxic").distinct()
 
 
 def toxicity_model(
@@ -342,8 +345,23 @@ def toxicity_model(
     toxic_rows: int = 1200,
     clean_rows: int = 2200,
     train_chars: int = 20_000,
+    total_chars: int = 24_000_000,
 ) -> Model:
-    return train(*training_sample(docs, labels, toxic_rows, clean_rows, train_chars))
+    """Learnt by one task from the bounded sample; the driver gets the model alone."""
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(
+            r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)
+        )
+        model = train([r[1] for r in rows], [r[2] for r in rows])
+        scores = model.bucket_scores.astype("<f4").tobytes()
+        yield pa.RecordBatch.from_pydict({"scores": [scores], "bias": pa.array([model.bias], pa.float64())})
+
+    sample = training_sample(docs, labels, toxic_rows, clean_rows, train_chars, total_chars)
+    found = sample.repartition(1).mapInArrow(learnt, "scores binary, bias double").collect()
+    if not found:  # no sampled row, so no task
+        return train([], [])
+    return Model(np.frombuffer(bytes(found[0].scores), dtype="<f4"), found[0].bias)
 
 
 def _scored(batch: pa.RecordBatch, model: Model) -> np.ndarray:

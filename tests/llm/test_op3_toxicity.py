@@ -6,10 +6,10 @@ import numpy as np
 import pyarrow as pa
 
 from claimhound.llm.toxicity import (
-    BUCKET_BITS, Model, bag, in_training, op3_subword_toxicity, toxicity_model, toxicity_scores,
+    BUCKET_BITS, NGRAMS, STRIDE, TABLES, WINDOW, Model, bag, in_training, op3_subword_toxicity, toxicity_model, toxicity_scores,
     train, training_sample, windows, without_toxic,
 )
-from claimhound.llm.words import utf8
+from claimhound.llm.words import hashes, utf8
 
 
 def corpus(n, seed, bad=("idiot", "moron", "worthless")):
@@ -97,9 +97,40 @@ def test_sample_is_taken_from_usable_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(4000)], "doc_id long, quality int, toxic int")
     learnable = {r.doc_id for r in labels.where(in_training(labels.doc_id)).collect()} & set(usable)
-    texts, toxic = training_sample(docs, labels, 120, 150, 100)
+
+    def sample(*bounds):
+        found = training_sample(docs, labels, *bounds).collect()
+        return [r.text for r in found], [r.toxic for r in found]
+
+    texts, toxic = sample(120, 150, 100, 100_000)
     assert len(texts) == len(set(texts)) == 270 and sum(toxic) == 120
     assert all(t == "another text" or int(t.split()[1]) in learnable for t in texts)
-    texts, toxic = training_sample(docs, labels, 10_000, 10_000, 100)
+    few, _ = sample(120, 150, 100, 1000)
+    assert set(few) < set(texts) and 900 < sum(map(len, few)) <= 1000
+    texts, toxic = sample(10_000, 10_000, 100, 10**6)
     more = ["another text"] * (usable[1] in learnable)
     assert sorted(texts) == sorted([f"text {i}" for i in learnable] + more)
+
+
+def plain_buckets(word):
+    """Of a word: its n-grams between boundary marks, one by one, and itself."""
+    raw, out = f" {word} ".encode(), []
+    for n in NGRAMS:
+        for i in range(len(raw) - n + 1):
+            h = (sum(int(TABLES[k][raw[i + k]]) for k in range(n)) + n) % 2**32
+            out.append((h * 0x9E3779B1) % 2**32 >> (32 - BUCKET_BITS))
+    h = int(hashes(np.frombuffer(raw, np.uint8), np.array([1]), np.array([len(raw) - 1]))[0]) % 2**32
+    return [*out, (h * 0x9E3779B1) % 2**32 >> (32 - BUCKET_BITS)]
+
+
+def test_scores_equal_plain_averages_of_ngrams():
+    rng = np.random.default_rng(3)
+    model = Model(rng.normal(0, 1, 1 << BUCKET_BITS).astype(np.float32), 0.25)
+    text = "The quick brown fox jumps over the lazy dog while\televen other été animals a watch it"
+    for words in (text.lower().split(), text.lower().split()[:4], ["x"]):
+        means, n = [], len(words)
+        for a in sorted({*range(0, max(n - WINDOW, 0) + 1, STRIDE), max(n - WINDOW, 0)}):
+            found = [k for w in words[a : a + WINDOW] for k in plain_buckets(w)]
+            means.append(sum(float(model.bucket_scores[k]) for k in found) / len(found))
+        got = model.scores(*utf8(pa.array([" ".join(words)])))[0]
+        assert abs(got - 1 / (1 + np.exp(-(max(means) + model.bias)))) < 1e-5
