@@ -12,6 +12,7 @@ from claimhound.operators import (
     financial,
     geography,
     kpi,
+    networks,
     patients,
     patterns,
     payers,
@@ -22,8 +23,11 @@ from claimhound.operators import (
     specialty,
     temporal,
 )
+from claimhound.sources.partials import quarter_partials, quarters, refreshed_quarters
 from claimhound.sources.shared import load_claims, load_registry
+from claimhound.streaming.replays import replayed_scores
 from claimhound.streaming.scoring import scored_stream
+from claimhound.streaming.state import CLAIM, deduplicated_arrivals, streamed_crowded_days
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +35,7 @@ CLAIMS_ONLY = {
     "q00_claims": lambda claims: claims,
     "q01b_claims_nulls": audit.claims_null_counts,
     "q01d_duplicate_claims": audit.duplicate_claim_ids,
+    "q01d_near_duplicates": networks.near_duplicates,
     "q01f_overpayments": audit.overpayments,
     "q01g_unit_mismatches": audit.unit_mismatches,
     "q01h1_date_span": audit.date_span,
@@ -54,6 +59,7 @@ CLAIMS_ONLY = {
     "q06c_monthly_pattern": temporal.monthly,
     "q06d_rolling_quarters": temporal.rolling_quarters,
     "q06e_volume_spikes": temporal.volume_spikes,
+    "q06e_turning_points": networks.turning_points,
     "q07a_exposure": financial.exposure,
     "q07b_specialty_gap": financial.specialty_gap,
     "q07d_overbilled_units": financial.overbilled_units,
@@ -61,6 +67,7 @@ CLAIMS_ONLY = {
     "q08a_crowded_days": behaviour.crowded_days,
     "q08b_patient_rings": behaviour.patient_rings,
     "q08b_ring_types": behaviour.patient_ring_types,
+    "q08b_fraud_rings": networks.fraud_rings,
     "q08c_billing_outliers": behaviour.billing_outliers,
     "q08d_weekend_providers": behaviour.weekend_providers,
     "q09a_insurer_exposure": payers.exposure_report,
@@ -81,6 +88,7 @@ CLAIMS_ONLY = {
     "r05_level_one": report.level_one,
     "r06_peer_benchmark": report.peer_benchmark,
     "r07_patient_mills": report.patient_mills,
+    "r07_churning_runs": networks.churning_runs,
     "r08_weekday": report.by_weekday,
     "r09_fourth_quarter": report.fourth_quarter,
     "r10_recoverable_loss": report.recoverable_loss,
@@ -117,6 +125,25 @@ BOTH = {
 }
 
 
+#: Run the landed claims through a stream or a refresh, and read what it left.
+STREAMED = {
+    "x01_streamed_scores": scored_stream,
+    "x02_deduplicated_arrivals": deduplicated_arrivals,
+    "x03_replayed_scores": replayed_scores,
+    "x04_streamed_crowded_days": streamed_crowded_days,
+    "x05_refreshed_quarters": refreshed_quarters,
+}
+
+#: What each of them comes to on two tables.
+BATCH = {
+    "x01_streamed_scores": queues.score_claims,
+    "x02_deduplicated_arrivals": lambda claims, registry: claims.select(*CLAIM).distinct(),
+    "x03_replayed_scores": queues.score_claims,
+    "x04_streamed_crowded_days": lambda claims, registry, **p: behaviour.crowded_days(claims, **p),
+    "x05_refreshed_quarters": lambda claims, registry: quarters(quarter_partials(claims)),
+}
+
+
 def _on_claims(analysis) -> Query:
     return lambda spark, sf_dir: analysis(load_claims(spark, sf_dir))
 
@@ -134,15 +161,15 @@ def _on_both(analysis) -> Query:
 def run(name: str, claims: DataFrame, registry: DataFrame, **params) -> DataFrame:
     """An analysis by name on a user's own two tables; ``params`` are its thresholds.
 
-    ``x01_streamed_scores`` scores the claims given, as a batch or, if they are
-    read as a stream, as one that the caller starts.
+    The streams and refreshes answer from the claims given, as a batch; scores
+    also from claims that are read as a stream, which the caller starts.
     """
     if name in CLAIMS_ONLY:
         return CLAIMS_ONLY[name](claims, **params)
     if name in REGISTRY_ONLY:
         return REGISTRY_ONLY[name](registry, **params)
-    if name == "x01_streamed_scores":
-        return queues.score_claims(claims, registry, **params)
+    if name in STREAMED:
+        return BATCH[name](claims, registry, **params)
     return BOTH[name](claims, registry, **params)
 
 
@@ -151,6 +178,6 @@ def queries() -> dict[str, Query]:
         **{name: _on_claims(a) for name, a in CLAIMS_ONLY.items()},
         **{name: _on_registry(a) for name, a in REGISTRY_ONLY.items()},
         **{name: _on_both(a) for name, a in BOTH.items()},
-        "x01_streamed_scores": scored_stream,
+        **STREAMED,
     }
     return dict(sorted(found.items()))

@@ -80,7 +80,8 @@ def test_building_a_plan_starts_no_job_and_leaves_no_folder(spark, sf_dir, monke
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("built", "plans only")
     try:
-        for name in set(queries()) - {"x01_streamed_scores"}:
+        # rings are found in rounds, each of which is written
+        for name in set(queries()) - {"x01_streamed_scores", "q08b_fraud_rings"}:
             run(name, claims, registry)
         assert not tracker.getJobIdsForGroup("built")
     finally:
