@@ -37,7 +37,7 @@ from claimhound.llm.words import hashes, pieces, utf8
 
 PERIOD = 32
 MOST_WORDS = 1024
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 #: Parts into which a language's phrases are dealt before its best are chosen.
 SALTS = 64
 
