@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_every_operator_has_a_query():
     names = {n.split("_")[0] for n in contract.queries() if n.startswith("op")}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in contract.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in contract.queries()
 
 
 def test_stages_keep_what_they_must(spark):
