@@ -4,9 +4,12 @@ A seed is a mask over consecutive words; it hashes the words at its ones and
 ignores those between, so two passages still meet where some words were
 replaced. Hashes of all benchmark positions form an index. Every position of
 every document is tested against a Bloom filter of fixed size made from the
-index; what passes is joined with the index itself. Hits of one document and
-item are gathered by diagonal, and along each diagonal the stretch with most
-agreeing words is verified in which at least ``SIMILARITY`` of the words agree.
+index; the different hashes that pass are joined with the index itself. The
+places of a pair's shared hashes give its diagonals, and along each the stretch
+with most agreeing words is verified in which at least ``SIMILARITY`` of the
+words agree. A hash goes through the join once for a document or item, however
+often it stands there, so a text of one repeated word costs no more rows than
+any other; a pair's diagonals are marks in an array as long as its two texts.
 
 Words are as in ``words.py``. Cases: null and empty texts have no words and no
 hits; a stretch must agree in ``MIN_WORDS`` words, or in ``SIMILARITY`` of an
@@ -38,6 +41,8 @@ SHORT_SEEDS = ("1111", "10111", "11011", "11101")
 #: Under five words, where no word may be replaced, the whole item is the seed.
 WHOLE_ITEMS = ("1", "11", "111", "1111")
 ANY_LENGTH = 1 << 62
+#: Pairs of places of one document and item that are looked at together.
+MARKS = 1 << 21
 #: Each seed, and the least and most words of the items that it searches.
 ALL_SEEDS = (
     *((s, 5, ANY_LENGTH) for s in SEEDS),
@@ -92,8 +97,18 @@ def seeds_used(items: DataFrame) -> list[int]:
     return [k for k, (_, lo, hi) in enumerate(ALL_SEEDS) if any(lo <= n <= hi for n in lengths)]
 
 
+def first_of_each(h: np.ndarray, places: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where each hash of a text stands first in it."""
+    text = np.searchsorted(first, places, side="right") - 1
+    order = np.lexsort((places, h, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return order[new]
+
+
 def seed_index(items: DataFrame, used: Sequence[int]) -> DataFrame:
-    """hash, item_key, item_at of every seed at every place of every item that it searches."""
+    """hash, item_key: every different hash of every item, of the seeds that search it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,51 +120,33 @@ def seed_index(items: DataFrame, used: Sequence[int]) -> DataFrame:
                 _, least, most = ALL_SEEDS[k]
                 n_words = np.diff(first)[item]
                 searched = (n_words >= least) & (n_words <= most)
-                h, places, item = h[searched], places[searched], item[searched]
+                h, places = h[searched], places[searched]
+                once = first_of_each(h, places, first)
+                item = np.searchsorted(first, places[once], side="right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h.view(np.int64)),
-                        pa.array(keys[item]),
-                        pa.array((places - first[item]).astype(np.int32)),
-                    ],
-                    names=["hash", "item_key", "item_at"],
+                    [pa.array(h[once].view(np.int64)), pa.array(keys[item])],
+                    names=["hash", "item_key"],
                 )
 
     columns = items.select(F.col("words"), "item_key").dropDuplicates(["item_key"])
-    return columns.mapInArrow(rows, "hash long, item_key long, item_at int")
+    return columns.mapInArrow(rows, "hash long, item_key long")
 
 
 def _doc_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
 
 
-def first_of_each(h: np.ndarray, places: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Where each hash of a text stands first in it."""
-    text = np.searchsorted(first, places, side="right") - 1
-    order = np.lexsort((places, h, text))
-    h, text = h[order], text[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    return order[new]
-
-
 def candidates(docs: DataFrame, filter_bits: np.ndarray, used: Sequence[int]) -> DataFrame:
-    """Documents that pass the filter somewhere: doc_key, doc_id, words, hashes, places.
-
-    A hash of a whole item tells all of its overlap, so its first place in a
-    document is enough, however common the item's words are.
-    """
+    """Documents that pass the filter somewhere: doc_key, doc_id, words, hashes (each once)."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_bits)
 
     def passed(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits, found = shared.value, []
-        for k, h, places in seed_hashes(words, first, used):
+        for _, h, places in seed_hashes(words, first, used):
             hit = may_hold(bits, h)
             h, places = h[hit], places[hit]
-            if k >= len(SEEDS) + len(SHORT_SEEDS):
-                once = first_of_each(h, places, first)
-                h, places = h[once], places[once]
-            found.append((h, places))
+            once = first_of_each(h, places, first)
+            found.append((h[once], places[once]))
         if not found:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         h, places = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -168,7 +165,6 @@ def candidates(docs: DataFrame, filter_bits: np.ndarray, used: Sequence[int]) ->
                 if not len(docs_hit):
                     continue
                 ends = np.concatenate(([0], np.cumsum(hi[docs_hit] - lo[docs_hit])))
-                local = places - np.repeat(first[docs_hit], np.diff(ends))
                 each = [words[first[d] : first[d + 1]].tobytes() for d in docs_hit]
                 at = pa.array(a + docs_hit)
                 ends = pa.array(ends, pa.int32())
@@ -178,15 +174,14 @@ def candidates(docs: DataFrame, filter_bits: np.ndarray, used: Sequence[int]) ->
                         batch.column("doc_id").take(at),
                         pa.array(each, pa.binary()),
                         pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))),
-                        pa.ListArray.from_arrays(ends, pa.array(local.astype(np.int32))),
                     ],
-                    names=["doc_key", "doc_id", "words", "hashes", "places"],
+                    names=["doc_key", "doc_id", "words", "hashes"],
                 )
 
     source = docs.select(
         _doc_key().alias("doc_key"), F.col("doc_id").cast("long"), F.col("text").cast("string")
     )
-    schema = "doc_key long, doc_id long, words binary, hashes array<long>, places array<int>"
+    schema = "doc_key long, doc_id long, words binary, hashes array<long>"
     return source.mapInArrow(rows, schema).dropDuplicates(["doc_key"])
 
 
@@ -213,21 +208,56 @@ def most_agreeing(same: np.ndarray) -> tuple[int, int, int]:
     return int(first[k]), int(last[k]) + 1, most
 
 
-def longest_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and agreeing words of the stretch of the largest sum along a diagonal.
+class Places:
+    """The hashes of one text in order, each with its places, by seed."""
+
+    def __init__(self, words: np.ndarray, used: Sequence[int]) -> None:
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k, h, at in seed_hashes(words, np.array([0, len(words)]), used):
+            order = np.argsort(h, kind="stable")
+            self.of[k] = h[order], at[order]
+
 
-    It stops before a replaced word that few agreeing ones follow, so it does
-    not decide what overlaps; ``most_agreeing`` does.
+def diagonals(doc: Places, item: Places, n_doc: int, n_item: int) -> np.ndarray:
+    """Differences of place, ascending, at which the two texts share a hash.
 
-    An agreeing word counts 1, any other so much less than 0 that a stretch
-    with exactly ``SIMILARITY`` of agreement sums to 0; the largest sum wins.
+    Every pair of places is marked in one array of ``n_doc + n_item`` flags,
+    at most ``MARKS`` pairs at a time or one place's.
     """
-    gain = np.where(same, 1.0, -SIMILARITY / (1 - SIMILARITY))
-    sums = np.concatenate(([0.0], np.cumsum(gain)))
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    start = int(np.flatnonzero(sums[: end + 1] == low[end])[-1]) if end else 0
-    return start, end, int(same[start:end].sum())
+    seen = np.zeros(n_doc + n_item, dtype=bool)
+    for k, (h, at) in item.of.items():
+        _, least, most = ALL_SEEDS[k]
+        if not least <= n_item <= most or k not in doc.of:
+            continue
+        doc_h, doc_at = doc.of[k]
+        lo, hi = np.searchsorted(doc_h, h), np.searchsorted(doc_h, h, side="right")
+        hit = np.flatnonzero(hi > lo)
+        lo, n, at = lo[hit], hi[hit] - lo[hit], at[hit]
+        total, a = np.cumsum(n), 0
+        while a < len(n):
+            done = int(total[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(total, done + MARKS, side="right")))
+            each = np.repeat(lo[a:b] - (total[a:b] - n[a:b] - done), n[a:b])
+            place = doc_at[each + np.arange(len(each))]
+            seen[place - np.repeat(at[a:b], n[a:b]) + n_item] = True
+            a = b
+    return np.flatnonzero(seen) - n_item
+
+
+def best_overlap(doc: np.ndarray, item: np.ndarray, found: np.ndarray) -> tuple[int, int, int, int]:
+    """Agreeing words, start in both texts and length of the best stretch on any diagonal."""
+    best = (0, 0, 0, 0)
+    for d in found.tolist():
+        lo, hi = max(0, -d), min(len(item), len(doc) - d)
+        agree = doc[lo + d : hi + d] == item[lo:hi]
+        if np.count_nonzero(agree) <= best[0]:
+            continue
+        start, end, same = most_agreeing(agree)
+        if same > best[0]:
+            best = (same, lo + d + start, lo + start, end - start)
+        if same == len(item):
+            break
+    return best
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
@@ -240,32 +270,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORD
     used = seeds_used(items)
     index = staged(seed_index(items, used), "benchmark-seeds")
     found = staged(candidates(docs, bloom_filter(index, "hash"), used), "seed-hits")
-    hits = found.select("doc_key", F.explode(F.arrays_zip("hashes", "places")).alias("hit"))
-    hits = hits.select("doc_key", F.col("hit.hashes").alias("hash"), F.col("hit.places").alias("at"))
-    lines = (
-        hits.join(index, "hash")
-        .select("doc_key", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal"))
-        .groupBy("doc_key", "item_key")
-        .agg(F.collect_set("diagonal").alias("diagonals"))
-    )
-    pairs = lines.join(found.select("doc_key", "doc_id", "words"), "doc_key").join(
+    hits = found.select("doc_key", F.explode("hashes").alias("hash"))
+    shared = hits.join(index, "hash").select("doc_key", "item_key").distinct()
+    pairs = shared.join(found.select("doc_key", "doc_id", "words"), "doc_key").join(
         items.select("item_key", "item_id", F.col("words").alias("item_words")), "item_key"
     )
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, doc_places = None, None
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
+            for at in range(batch.num_rows):
+                r = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
                 doc = np.frombuffer(r["words"], dtype=np.uint64)
                 item = np.frombuffer(r["item_words"], dtype=np.uint64)
-                best = (0, 0, 0, 0)
-                for d in sorted(r["diagonals"]):
-                    lo, hi = max(0, -d), min(len(item), len(doc) - d)
-                    start, end, same = most_agreeing(doc[lo + d : hi + d] == item[lo:hi])
-                    if same > best[0]:
-                        best = (same, lo + d + start, lo + start, end - start)
-                    if same == len(item):
-                        break
+                if r["doc_key"] != last:
+                    last, doc_places = r["doc_key"], Places(doc, used)
+                lines = diagonals(doc_places, Places(item, used), len(doc), len(item))
+                best = best_overlap(doc, item, lines)
                 if best[0] >= min(min_words, ceil(SHARE * len(item))):
                     rows.append(
                         dict(
@@ -279,9 +301,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORD
     kinds = [pa.int64()] * 3 + [pa.int32()] * 4
     out = pa.schema(list(zip(names, kinds, strict=True)))
     schema = ", ".join(f"{n} {'long' if k == pa.int64() else 'int'}" for n, k in zip(names, kinds, strict=True))
-    return pairs.select("doc_key", "doc_id", "item_id", "words", "item_words", "diagonals").mapInArrow(
-        verified, schema
-    )
+    return pairs.select("doc_key", "doc_id", "item_id", "words", "item_words").mapInArrow(verified, schema)
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

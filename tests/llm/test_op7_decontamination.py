@@ -7,7 +7,8 @@ import re
 import numpy as np
 
 from claimhound.llm.decontamination import (
-    longest_stretch, most_agreeing, op7_spaced_seeds, overlaps, without_overlaps,
+    SEEDS,
+    Places, best_overlap, diagonals, most_agreeing, op7_spaced_seeds, overlaps, without_overlaps,
 )
 
 DOC = "doc_id long, text string, doc_key long, row int"
@@ -60,16 +61,6 @@ def test_substitutions_are_tolerated(spark):
     assert all(r.doc_start - r.item_start == 30 for r in found.values())
 
 
-def test_best_stretch_is_maximal():
-    rng = np.random.default_rng(2)
-    for _ in range(200):
-        same = rng.random(rng.integers(1, 30)) < 0.7
-        start, end, n = longest_stretch(same)
-        gain = lambda a, b: same[a:b].sum() - 4 * (~same[a:b]).sum()
-        best = max(gain(a, b) for a in range(len(same)) for b in range(a, len(same) + 1))
-        assert gain(start, end) == best and n == same[start:end].sum() and (not n or n >= 0.8 * (end - start))
-
-
 def best_by_brute_force(same):
     """Agreeing words and length of the best stretch, over all stretches."""
     sums = np.concatenate(([0], np.cumsum(same)))
@@ -148,3 +139,36 @@ def test_odd_rows_and_tables(spark):
     for d, b in ((rows, []), ([], [(1, passage)]), ([], [])):
         assert overlaps(docs_of(spark, d), items_of(spark, b)).count() == 0
         assert without_overlaps(docs_of(spark, d), items_of(spark, b)).count() == len(d)
+
+
+def test_diagonals_equal_brute_force(monkeypatch):
+    """Texts of few different words, so that hashes repeat; marks in small and large portions."""
+    rng = np.random.default_rng(6)
+    for k in range(60):
+        monkeypatch.setattr("claimhound.llm.decontamination.MARKS", int(rng.integers(1, 40)))
+        doc = rng.integers(1, 2 + k % 3, rng.integers(5, 60)).astype(np.uint64)
+        item = rng.integers(1, 2 + k % 3, rng.integers(11, 30)).astype(np.uint64)
+        want = {
+            i - j
+            for seed in SEEDS
+            for i in range(len(doc) - len(seed) + 1)
+            for j in range(len(item) - len(seed) + 1)
+            if all(doc[i + x] == item[j + x] for x, bit in enumerate(seed) if bit == "1")
+        }
+        used = range(len(SEEDS))
+        got = diagonals(Places(doc, used), Places(item, used), len(doc), len(item))
+        assert got.tolist() == sorted(want)
+        best = best_overlap(doc, item, got)
+        each = [most_agreeing(doc[max(d, 0) : len(item) + d] == item[max(-d, 0) : len(doc) - d])[2] for d in want]
+        assert best[0] == max(each, default=0)
+
+
+def test_long_repetitive_texts(spark):
+    """One word 200,000 times, and two in turn, against items of 2,000 words; no pair of places is a row."""
+    one, two = "same " * 2000, "left right " * 1000
+    rows = [(1, "same " * 200_000), (2, "left right " * 100_000), (3, "left right other " * 60_000)]
+    found = overlaps(docs_of(spark, rows), items_of(spark, [(1, one), (2, two)])).collect()
+    assert {(r.doc_id, r.item_id): (r.doc_start, r.item_start, r.n_words, r.n_same) for r in found} == {
+        (1, 1): (0, 0, 2000, 2000),
+        (2, 2): (0, 0, 2000, 2000),
+    }
