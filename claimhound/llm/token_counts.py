@@ -4,10 +4,12 @@ Every whole text is encoded; a task counts its lengths before anything is
 shuffled, so what moves is one row per different length and task. From the
 suffix sums follow the totals, every quantile, and what any context limit keeps.
 Sums run within blocks of lengths first and over blocks then, so no task sorts
-the histogram as a whole.
+the histogram as a whole. The query writes the histogram once, so that the texts
+are encoded once for both sums.
 
 Cases: a null or empty text has the length 0 and is counted; repeated rows
-count each; an empty table has an empty histogram; other columns are not read.
+count each; an empty table has an empty histogram, nothing under any limit and
+null quantiles; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimhound.llm.encode import WORD_BPE, encoder
-from claimhound.llm.staging import table
+from claimhound.llm.staging import staged, table
 from claimhound.llm.words import pieces, utf8
 
 TEXT_BYTES = 2 << 20
@@ -49,9 +51,11 @@ def length_histogram(docs: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
-    """Per length, also: docs_at_least, tokens_at_least, truncated_tokens, docs, tokens.
+    """Per length, also: docs_at_least, tokens_at_least, truncated_tokens, share_up_to, docs, tokens.
 
-    ``truncated_tokens`` is what all texts keep if each is cut at n_tokens.
+    ``truncated_tokens`` is what all texts keep if each is cut at n_tokens;
+    ``share_up_to`` the share of texts that are no longer, so n_tokens is the
+    quantile of every share above the next shorter length's.
     """
     rows = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     rows = rows.withColumn("in_tokens", F.col("n_tokens") * F.col("n_docs"))
@@ -80,32 +84,49 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
         "tokens",
     )
     kept = F.col("tokens") - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least")
-    return out.withColumn("truncated_tokens", kept)
+    up_to = (F.col("docs") - F.col("docs_at_least") + F.col("n_docs")) / F.col("docs")
+    return out.withColumn("truncated_tokens", kept).withColumn("share_up_to", up_to)
+
+
+def _answers(sums: DataFrame, name: str, answers: Sequence[tuple]) -> DataFrame:
+    """One pass over ``sums``: a row for each of ``answers`` (asked value, aggregate), at least one."""
+    rows = [F.struct(F.lit(asked).alias(name), found.alias("found")) for asked, found in answers]
+    return sums.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def truncated_totals(sums: DataFrame, limits: Sequence[int]) -> DataFrame:
-    """context_limit, tokens kept, texts cut, for any limits, from ``suffix_sums``.
+    """context_limit, tokens kept, docs_cut, for any limits, from ``suffix_sums``.
 
-    Between two lengths nothing is stored: with the next stored length m above
-    a limit c, every text of at least m keeps c.
+    Read from one stored row, that of the least length above the limit: every
+    text of at least this length keeps the limit, all others keep all. Above
+    the greatest length nothing is cut.
     """
-    asked = sums.sparkSession.createDataFrame([(int(c),) for c in limits], "context_limit long")
-    above = F.col("n_tokens") > F.col("context_limit")
-    n_above = F.sum(F.when(above, F.col("n_docs")).otherwise(0))
-    below = F.sum(F.when(above, 0).otherwise(F.col("n_tokens") * F.col("n_docs")))
-    pairs = sums.select("n_tokens", "n_docs").join(F.broadcast(asked))
-    return pairs.groupBy("context_limit").agg(
-        (below + F.col("context_limit") * n_above).alias("tokens"), n_above.alias("docs_cut")
-    )
+    answers = []
+    for c in sorted({int(c) for c in limits}):
+        row = F.struct("n_tokens", "docs_at_least", "tokens_at_least")
+        above = F.min(F.when(F.col("n_tokens") > c, row))
+        lost = above["tokens_at_least"] - F.lit(c) * above["docs_at_least"]
+        kept = F.max("tokens") - F.coalesce(lost, F.lit(0))
+        found = F.struct(
+            F.coalesce(kept, F.lit(0)).alias("tokens"),
+            F.coalesce(above["docs_at_least"], F.lit(0)).alias("docs_cut"),
+        )
+        answers.append((c, found))
+    rows = _answers(sums, "context_limit", answers)
+    return rows.select(F.col("context_limit").cast("long"), "found.*")
 
 
 def length_quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:
     """share, n_tokens: the smallest length that at least this share of texts does not exceed."""
-    asked = sums.sparkSession.createDataFrame([(float(q),) for q in shares], "share double")
     up_to = F.col("docs") - F.col("docs_at_least") + F.col("n_docs")
-    pairs = sums.join(F.broadcast(asked)).where(up_to >= F.col("share") * F.col("docs"))
-    return pairs.groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    answers = [
+        (q, F.min(F.when(up_to >= F.lit(q) * F.col("docs"), F.col("n_tokens"))))
+        for q in sorted({float(q) for q in shares})
+    ]
+    rows = _answers(sums, "share", answers)
+    return rows.select(F.col("share").cast("double"), F.col("found").alias("n_tokens"))
 
 
 def op4_length_histogram(spark, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+    found = length_histogram(table(spark, sf_dir, "documents"))
+    return suffix_sums(staged(found, "length-histogram"))
