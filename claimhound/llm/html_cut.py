@@ -8,6 +8,12 @@ whose capacity falls with their distance in the tree. The cheapest labelling is
 a minimum cut, found by maximum flow after fixing all blocks whose own cost
 outweighs their edges, which no minimum cut can label otherwise.
 
+What a name says of an element is weighed when the page is read: one that holds
+the main article is a wrapper, whatever it is called ("layout with-sidebar"), and
+a section of an article with an ambiguous id ("discussion") counts the less the
+more text it holds. Pages are scanned in linear time; a tag whose quotes do not
+close ends at its first ``>``.
+
 Cases: null and empty pages, and pages without content, have the text ``""``;
 unclosed elements end with their container or the page; repeated pages are
 extracted each; an empty table gives an empty one; extra columns are not read.
@@ -17,7 +23,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,13 +33,11 @@ from pyspark.sql import functions as F
 
 from claimhound.llm.staging import table
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:"[^"]*"|'[^']*'|[^>"'])*)>"""
-    r"|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile("[>\"']")
+# Fixed values of HTML: elements whose text is not the page's.
+RAW = frozenset("script style noscript template textarea iframe svg".split())
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
 NAMES = re.compile(
     r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE
 )
@@ -67,6 +71,9 @@ BAD_NAMES = frozenset(
     "complementary contentinfo dialog form reactions discussion".split()
 )
 GOOD_NAMES = frozenset("article main content post entry story body text".split())
+#: Names that a section of an article may bear as its id; they count as half at this many words.
+AMBIGUOUS_NAMES = frozenset("discussion reactions legal search menu form dialog".split())
+AMBIGUOUS_WORDS = 15
 BAD_NAME, GOOD_NAME, IN_ARTICLE, IN_MAIN = -9.0, 1.5, 5.0, 3.0
 BIAS, PARAGRAPH, HEADING, LINKS, PER_WORD, MOST_WORDS = -1.0, 1.2, 0.6, -5.0, 0.04, 50
 HIDDEN_SCORE = -20.0
@@ -78,11 +85,16 @@ SMOOTH = 1.0
 class Node:
     tag: str
     parent: Node | None
-    score: float  # of the element and all around it
+    own: float = 0.0  # what tells of the element itself, names and forms apart
+    bad: float = 0.0  # of a bad name or a form, unless the element is a wrapper
+    ambiguous: bool = False
+    main: int = 0  # how surely it is the main article: 3 article, 2 main, 1 by name
     in_article: bool = False
     depth: int = 0
     p: bool = False
     heading: bool = False
+    words: int = 0  # of the element's own blocks, then of all in it
+    score: float = 0.0  # of the element and all around it
 
 
 @dataclass
@@ -92,48 +104,128 @@ class Block:
     score: float
 
 
+def scan(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start and end of each piece of markup, with tag ("" of none), whether it ends it, and attributes.
+
+    Each place is passed a bounded number of times: a quote from which an
+    earlier tag found no end is remembered.
+    """
+    last_end = page.rfind(">")
+    last_quote = {q: page.rfind(q) for q in "\"'"}
+    dead: set[int] = set()
+    at = page.find("<")
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            end = end if end >= 3 else len(page)
+            yield at, end, "", False, ""
+        elif at > last_end:
+            # nothing closes any more, but a comment may still follow
+            end = page.find("<!--", at + 1)
+            at = end
+            continue
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1
+            yield at, end, "", False, ""
+        elif m := TAG.match(page, at):
+            place, passed = m.end(), []
+            while True:
+                place = QUOTE_OR_END.search(page, place)
+                place = place.start() if place else -1
+                if place < 0 or page[place] == ">":
+                    break
+                passed.append(place)
+                if place in dead or place >= last_quote[page[place]]:
+                    place = -1
+                    break
+                place = page.index(page[place], place + 1) + 1
+            if place < 0:
+                dead.update(passed)
+                place = page.find(">", m.end())
+            tag, more, end = m[2].lower(), page[m.end() : place], place + 1
+            if tag in RAW and not m[1] and not (tag == "svg" and more.endswith("/")):
+                closed = RAW_END[tag].search(page, end)
+                end = page.find(">", closed.end()) + 1 if closed else 0
+                yield at, end or len(page), "", False, ""
+                end = end or len(page)
+            else:
+                yield at, end, tag, bool(m[1]), more
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
 def _names(more: str) -> set[str]:
     found = " ".join(a or b or c for a, b, c in NAMES.findall(more)).lower()
     return set(re.split(r"[^a-z0-9]+", found))
 
 
 def _open(tag: str, more: str, parent: Node) -> Node:
-    score, article = parent.score, parent.in_article
-    if tag == "article" and not article:
-        score, article = score + IN_ARTICLE, True
+    node = Node(tag, parent, in_article=parent.in_article, depth=parent.depth + 1)
+    if tag == "article" and not node.in_article:
+        node.own, node.in_article, node.main = IN_ARTICLE, True, 3
     elif tag == "main":
-        score += IN_MAIN
-    elif tag in BAD_TAGS and not (tag == "header" and article):
-        score += BAD_TAGS[tag]
+        node.own, node.main = IN_MAIN, 2
+    elif tag == "form":
+        node.bad = BAD_TAGS[tag]
+    elif tag in BAD_TAGS and not (tag == "header" and node.in_article):
+        node.own = BAD_TAGS[tag]
     if more and "=" in more:
         names = _names(more)
-        if names & BAD_NAMES and tag not in ("html", "body"):
-            score += BAD_NAME
+        bad = names & BAD_NAMES
+        if bad and tag not in ("html", "body"):
+            node.ambiguous = parent.in_article and tag == "section" and bad <= AMBIGUOUS_NAMES
+            node.bad += BAD_NAME
+            node.main = 0
         elif names & GOOD_NAMES:
-            score += GOOD_NAME
-        if HIDDEN.search(more):
-            score += HIDDEN_SCORE
-    elif more and HIDDEN.search(more):
-        score += HIDDEN_SCORE
-    is_p = parent.p or tag in ("p", "blockquote", "pre")
-    heading = parent.heading or tag in HEADINGS
-    return Node(tag, parent, score, article, parent.depth + 1, is_p, heading)
+            node.own += GOOD_NAME
+            node.main = node.main or 1
+    if more and HIDDEN.search(more):
+        node.own += HIDDEN_SCORE
+    node.p = parent.p or tag in ("p", "blockquote", "pre")
+    node.heading = parent.heading or tag in HEADINGS
+    return node
+
+
+def _weigh(nodes: list[Node]) -> None:
+    """Scores of all nodes (parents first), once the words in each are known.
+
+    The element that is most surely the main article, and of those the one with
+    most words, makes wrappers of all around it; one that only a name tells
+    must hold half of the page's words.
+    """
+    for node in reversed(nodes[1:]):
+        node.parent.words += node.words
+    total = nodes[0].words
+    sure = [n for n in nodes if n.main > 1 or n.main and 2 * n.words >= total]
+    main = max(sure, key=lambda n: (n.main, n.words), default=None)
+    wrappers, up = set(), main
+    while up is not None and up.parent is not None:
+        up = up.parent
+        wrappers.add(id(up))
+    for node in nodes[1:]:
+        bad = 0.0 if id(node) in wrappers else node.bad
+        if node.ambiguous:
+            bad *= AMBIGUOUS_WORDS / (AMBIGUOUS_WORDS + node.words)
+        node.score = node.parent.score + node.own + bad
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with the classifier's log-odds of content."""
     out: list[Block] = []
-    node, runs, linked, link_depth = Node("", None, 0.0), [], 0, 0
-    owner = node
+    node, runs, linked, link_depth = Node("", None), [], 0, 0
+    owner, nodes = node, [node]
+    open_tags: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal runs, linked
         text = " ".join("".join(runs).split())
         if text:
-            words = min(text.count(" ") + 1, MOST_WORDS)
+            words = text.count(" ") + 1
+            owner.words += words
             kind = HEADING if owner.heading else PARAGRAPH if owner.p else 0.0
             links = LINKS * min(1.0, linked / len(text))
-            out.append(Block(owner, text, BIAS + owner.score + kind + links + PER_WORD * words))
+            out.append(Block(owner, text, BIAS + kind + links + PER_WORD * min(words, MOST_WORDS)))
         runs, linked = [], 0
 
     def said(run: str) -> None:
@@ -147,29 +239,33 @@ def blocks(page: str) -> list[Block]:
         if link_depth:
             linked += len(run.strip())
 
+    def leave(last: Node) -> None:
+        nonlocal node
+        while node is not last.parent:
+            open_tags[node.tag] -= 1
+            node = node.parent
+
     def owner_has_text() -> bool:
         return any(not r.isspace() for r in runs)
 
     at = 0
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            said(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+    for start, end, tag, ends, more in scan(page):
+        if start > at:
+            said(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             runs.append(" ")
             continue
         if tag in BLOCKS:
             flush()
-        if m["end"]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None:
-                node = up.parent
+        if ends:
+            if open_tags[tag]:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                leave(up)
             if tag == "a":
                 link_depth = 0
             continue
@@ -182,18 +278,23 @@ def blocks(page: str) -> list[Block]:
             ):
                 up = up.parent
             if up.tag in closed:
-                node = up.parent
-        elif tag in BLOCKS:
+                leave(up)
+        elif tag in BLOCKS and open_tags["p"]:
             up = node  # a paragraph ends where another block begins
             while up.parent is not None and up.tag not in BLOCKS:
                 up = up.parent
             if up.tag == "p":
-                node = up.parent
+                leave(up)
         if tag == "a":
             link_depth = 1
-        node = _open(tag, m["more"], node)
+        node = _open(tag, more, node)
+        nodes.append(node)
+        open_tags[tag] += 1
     said(page[at:])
     flush()
+    _weigh(nodes)
+    for block in out:
+        block.score += block.node.score
     return out
 
 
