@@ -25,6 +25,7 @@ from claimhound.operators import (
 )
 from claimhound.sources.partials import quarter_partials, quarters, refreshed_quarters
 from claimhound.sources.shared import load_claims, load_registry
+from claimhound.sources.sketches import checked, sketch_partials, sketched_counts
 from claimhound.streaming.replays import replayed_scores
 from claimhound.streaming.scoring import scored_stream
 from claimhound.streaming.state import CLAIM, deduplicated_arrivals, streamed_crowded_days
@@ -132,6 +133,7 @@ STREAMED = {
     "x03_replayed_scores": replayed_scores,
     "x04_streamed_crowded_days": streamed_crowded_days,
     "x05_refreshed_quarters": refreshed_quarters,
+    "x06_sketched_counts": sketched_counts,
 }
 
 #: What each of them comes to on two tables.
@@ -141,6 +143,7 @@ BATCH = {
     "x03_replayed_scores": queues.score_claims,
     "x04_streamed_crowded_days": lambda claims, registry, **p: behaviour.crowded_days(claims, **p),
     "x05_refreshed_quarters": lambda claims, registry: quarters(quarter_partials(claims)),
+    "x06_sketched_counts": lambda claims, registry: checked(sketch_partials(claims), claims),
 }
 
 

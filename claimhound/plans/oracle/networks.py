@@ -17,6 +17,10 @@ SELECT Claim_Year, Claim_Quarter, COUNT(*) AS Claims, COUNT(DISTINCT Provider_ID
        {money(f"SUM({cents('Paid_Amount')})")} AS Paid,
        {money(f"COALESCE(SUM(CASE WHEN Fraud_Label = 1 THEN {cents('Paid_Amount')} END), 0)")} AS Fraud_Paid
 FROM fa GROUP BY Claim_Year, Claim_Quarter""",
+    "x06_sketched_counts": """
+SELECT Claim_Year, Insurer, COUNT(DISTINCT Patient_ID) AS Patients, COUNT(DISTINCT Provider_ID) AS Providers,
+       1 AS Patients_In_Bound, 1 AS Providers_In_Bound
+FROM fa GROUP BY Claim_Year, Insurer""",
     "q01d_near_duplicates": f"""
 SELECT a.Claim_ID, a.Patient_ID, a.Provider_ID, a.CPT_Code, a.Claim_Date, COUNT(*) AS Earlier_Claims,
        CAST(MIN(a.Claim_Date - b.Claim_Date) AS INTEGER) AS Days_Since
