@@ -23,6 +23,7 @@ from claimhound.operators import (
     specialty,
     temporal,
 )
+from claimhound.sources.layout import bucketed_priority
 from claimhound.sources.partials import quarter_partials, quarters, refreshed_quarters
 from claimhound.sources.shared import load_claims, load_registry
 from claimhound.sources.sketches import checked, sketch_partials, sketched_counts
@@ -126,7 +127,7 @@ BOTH = {
 }
 
 
-#: Run the landed claims through a stream or a refresh, and read what it left.
+#: Run the landed claims through a stream, a refresh or a table of another layout, and read what it left.
 STREAMED = {
     "x01_streamed_scores": scored_stream,
     "x02_deduplicated_arrivals": deduplicated_arrivals,
@@ -134,6 +135,7 @@ STREAMED = {
     "x04_streamed_crowded_days": streamed_crowded_days,
     "x05_refreshed_quarters": refreshed_quarters,
     "x06_sketched_counts": sketched_counts,
+    "x07_bucketed_priority": bucketed_priority,
 }
 
 #: What each of them comes to on two tables.
@@ -144,6 +146,7 @@ BATCH = {
     "x04_streamed_crowded_days": lambda claims, registry, **p: behaviour.crowded_days(claims, **p),
     "x05_refreshed_quarters": lambda claims, registry: quarters(quarter_partials(claims)),
     "x06_sketched_counts": lambda claims, registry: checked(sketch_partials(claims), claims),
+    "x07_bucketed_priority": queues.priority_claims,
 }
 
 

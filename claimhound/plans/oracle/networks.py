@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from claimhound.plans.oracle.base import FRAUD, RATE, cents, hu, money
+from claimhound.plans.oracle.core import STATEMENTS as CORE
 from claimhound.plans.oracle.more import STATEMENTS as MORE
 
 SERVICE = "Patient_ID, Provider_ID, CPT_Code"
@@ -17,6 +18,7 @@ SELECT Claim_Year, Claim_Quarter, COUNT(*) AS Claims, COUNT(DISTINCT Provider_ID
        {money(f"SUM({cents('Paid_Amount')})")} AS Paid,
        {money(f"COALESCE(SUM(CASE WHEN Fraud_Label = 1 THEN {cents('Paid_Amount')} END), 0)")} AS Fraud_Paid
 FROM fa GROUP BY Claim_Year, Claim_Quarter""",
+    "x07_bucketed_priority": {**CORE, **MORE}["q13a_priority_claims"],
     "x06_sketched_counts": """
 SELECT Claim_Year, Insurer, COUNT(DISTINCT Patient_ID) AS Patients, COUNT(DISTINCT Provider_ID) AS Providers,
        1 AS Patients_In_Bound, 1 AS Providers_In_Bound
