@@ -16,11 +16,11 @@ is compared exactly, no pair is a row, and no task holds more than two blocks.
 What a task returns is a spanning forest of its links.
 
 Cases: a null or empty text, or one of white space, has no set and is linked with
-nothing; fewer than five words are one shingle; repeated rows are copies; a
-document without doc_id counts as a copy of equal ones, but otherwise is linked
-with nothing, and its component is null if no copy has an id; rows of one doc_id
-with different texts are one node; an empty table gives an empty one; extra
-columns are carried by ``one_of_each`` and otherwise not read.
+nothing; fewer than five words are one shingle; repeated rows are copies; links
+are between sets, so rows of one doc_id with different texts are apart unless
+their texts are alike, and rows without doc_id are linked as all others, with a
+null component if no row of theirs has an id; an empty table gives an empty one;
+extra columns are carried by ``one_of_each`` and otherwise not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimhound.llm.bloom import bloom_filter, may_hold
@@ -141,7 +141,9 @@ def count_sketch(docs: DataFrame) -> np.ndarray:
     return np.minimum(total.ravel(), np.iinfo(np.int32).max).astype(np.int32)
 
 
-PROFILE = "doc_id long, n long, fp_a long, fp_b long, listed long, prefix binary"
+#: What tells sets apart.
+SET = ["fp_a", "fp_b", "n"]
+PROFILE = "doc_id long, text_hash long, n long, fp_a long, fp_b long, listed long, prefix binary"
 
 
 def profiles(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -171,9 +173,10 @@ def profiles(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = [pa.int64()] * 4 + [pa.binary()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=names)
+            own = [batch.column("doc_id"), batch.column("text_hash")]
+            yield pa.RecordBatch.from_arrays([*own, *arrays], names=names)
 
-    names = ["doc_id", "n", "fp_a", "fp_b", "listed", "prefix"]
+    names = ["doc_id", "text_hash", "n", "fp_a", "fp_b", "listed", "prefix"]
     return docs.mapInArrow(rows, PROFILE)
 
 
@@ -195,7 +198,7 @@ def boundary(found: DataFrame) -> int:
 
 
 def keyed(classes: DataFrame, small: int) -> DataFrame:
-    """key, n, short, rep: subsets of small sets, and elements of sets a large one may resemble.
+    """key, n, short, node: subsets of small sets, and elements of sets a large one may resemble.
 
     Of two similar sets, the smaller one holds a common element in its short
     prefix, which is all that it needs to share with sets that are not smaller.
@@ -203,10 +206,10 @@ def keyed(classes: DataFrame, small: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, sizes = batch.column("rep").to_numpy(), batch.column("n").to_numpy()
-            for lo in range(0, len(reps), 1024):
+            nodes, sizes = batch.column("node").to_numpy(), batch.column("n").to_numpy()
+            for lo in range(0, len(nodes), 1024):
                 keys, owner, short = [], [], []
-                for i in range(lo, min(lo + 1024, len(reps))):
+                for i in range(lo, min(lo + 1024, len(nodes))):
                     prefix = np.frombuffer(batch.column("prefix")[i].as_py(), dtype=np.uint64)
                     first = int(sizes[i] - _overlap_with_larger(sizes[i]) + 1)
                     if sizes[i] <= small:
@@ -227,13 +230,13 @@ def keyed(classes: DataFrame, small: int) -> DataFrame:
                         pa.array(np.concatenate(keys).view(np.int64)),
                         pa.array(sizes[at]),
                         pa.array(np.concatenate(short).astype(np.int8)),
-                        pa.array(reps[at]),
+                        pa.array(nodes[at]),
                     ],
-                    names=["key", "n", "short", "rep"],
+                    names=["key", "n", "short", "node"],
                 )
 
-    return classes.select("rep", "n", "prefix").mapInArrow(
-        rows, "key long, n long, short byte, rep long"
+    return classes.select("node", "n", "prefix").mapInArrow(
+        rows, "key long, n long, short byte, node long"
     )
 
 
@@ -249,8 +252,8 @@ def related(entries: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, dtype=np.int64)] * 4
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("key", "n", "rep", "short")]
-            key, n, rep, short = (np.concatenate(x) for x in zip(kept, columns, strict=True))
+            columns = [batch.column(c).to_numpy() for c in ("key", "n", "node", "short")]
+            key, n, node, short = (np.concatenate(x) for x in zip(kept, columns, strict=True))
             if not len(key):
                 continue
             at = np.arange(len(key))
@@ -258,29 +261,30 @@ def related(entries: DataFrame) -> DataFrame:
             before = np.concatenate(([-1], last[:-1]))
             start = len(kept[0])  # the row kept from the batch before had its link there
             ok = (before >= 0) & (at >= start)
-            ok &= (key[before] == key) & (PERCENT * n <= 100 * n[before]) & (rep[before] != rep)
+            ok &= (key[before] == key) & (PERCENT * n <= 100 * n[before]) & (node[before] != node)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rep[before[ok]]), pa.array(rep[ok])], names=["a", "b"]
+                [pa.array(node[before[ok]]), pa.array(node[ok])], names=["a", "b"]
             )
             held = slice(last[-1], last[-1] + 1) if last[-1] >= 0 else slice(0, 0)
-            kept = [x[held] for x in (key, n, rep, short)]
+            kept = [x[held] for x in (key, n, node, short)]
 
-    order = ["key", "n", "rep"]
+    order = ["key", "n", "node"]
     dealt = entries.repartition("key").sortWithinPartitions(*order)
     found = dealt.mapInArrow(rows, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_in(reps: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+def similar_in(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``sets``, by scanning inverted lists.
 
     ``side``: 0 for the sets of one block and 1 for those of another, whose
     links among themselves are another task's; all 0 if there is one block.
 
-    A set that is scanned is compared with all others. At the end every set
-    outside the largest component has been scanned, so two sets of different
-    components are known not to be similar; most of a group of near copies need
-    no scan of their own.
+    A set that is scanned is compared with all others. Sets that share too few
+    elements with any other need no scan, nor do members of the largest
+    component: at the end every set outside it has been scanned, so two sets of
+    different components are known not to be similar. What a scan costs depends
+    on the lists it reads alone.
     """
     n = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), n)
@@ -293,124 +297,175 @@ def similar_in(reps: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> li
     by_set = np.argsort(owner, kind="stable")
     elements = element[by_set]
     at = np.concatenate(([0], np.cumsum(n)))
-    del flat, order, element, by_set
-    label, weight = np.arange(len(sets)), np.ones(len(sets), dtype=np.int64)
-    scanned, two, links = np.zeros(len(sets), dtype=bool), bool(side.any()), []
-    while True:
-        left = np.flatnonzero(~scanned & (label != weight.argmax()))
-        if not len(left) and scanned.any():
-            return links
-        i = int(left[0]) if len(left) else 0
-        scanned[i] = True
-        e = elements[at[i] : at[i + 1]]
-        e = e[size[e] > 1]
-        k = size[e]
-        places = np.repeat(starts[e] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        common = np.bincount(owner[places], minlength=len(sets))
-        alike = 100 * common >= PERCENT * (n + n[i] - common)
-        if two:
-            alike &= side != side[i]
-        for j in np.flatnonzero(alike).tolist():
-            a, b = label[i], label[j]
-            if a != b:
-                links.append((int(reps[i]), int(reps[j])))
-                a, b = (a, b) if weight[a] >= weight[b] else (b, a)
-                label[label == b] = a
-                weight[a] += weight[b]
-                weight[b] = 0
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that a filter of fixed size over ``ids`` lets through, so that few are shuffled."""
-    hashed = ids.select(F.xxhash64("doc_id").alias("h"))
-    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(hashed, "h"))
+    shared = np.add.reduceat(size[elements] > 1, at[:-1]) if len(elements) else n
+    scanned = (shared < _overlap(n)).tolist()
+    del flat, order, element, by_set, shared
+    parent, weight, largest = list(range(len(sets))), [1] * len(sets), 0
+    two, links, going = bool(side.any()), [], True
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    while going:  # again only if another component has become the largest
+        going = False
+        for i in range(len(sets)):
+            if scanned[i] or (weight[largest] > 1 and root(i) == largest):
+                continue
+            scanned[i] = going = True
+            e = elements[at[i] : at[i + 1]]
+            e = e[size[e] > 1]
+            k = size[e]
+            places = np.repeat(starts[e] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            if len(places) < len(sets):
+                met, common = np.unique(owner[places], return_counts=True)
+            else:
+                common = np.bincount(owner[places], minlength=len(sets))
+                met = np.flatnonzero(common)
+                common = common[met]
+            alike = 100 * common >= PERCENT * (n[met] + n[i] - common)
+            if two:
+                alike &= side[met] != side[i]
+            for j in met[alike].tolist():
+                a, b = root(i), root(j)
+                if a != b:
+                    links.append((int(nodes[i]), int(nodes[j])))
+                    a, b = (a, b) if weight[a] >= weight[b] else (b, a)
+                    parent[b] = a
+                    weight[a] += weight[b]
+                    if weight[a] > weight[root(largest)]:
+                        largest = a
+            largest = root(largest)
+    return links
+
+
+def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose ``h`` a filter of fixed size over that of ``keys`` lets through, so that few are shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(bloom_filter(keys, "h"))
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column("h").to_numpy().view(np.uint64)
             yield batch.take(pa.array(may_hold(shared.value, h)))
 
-    rows = docs.where(F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
-    return rows.mapInArrow(passed, rows.schema).drop("h")
+    return rows.mapInArrow(passed, rows.schema)
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    """``rows`` with the doc_id (perhaps null) and text_hash to join by renamed, and their hash ``h``."""
+    h = F.xxhash64("doc_id", "text_hash")
+    return rows.withColumn("h", h).withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
+
+
+def _same_row() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
 
 
 def links_among(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """a, b: links that connect all similar sets of ``groups`` (component, doc_id, n).
+    """a, b: links that connect all similar sets of ``groups`` (component, node, doc_id, text_hash, n).
 
     A group is dealt to blocks of about BLOCK_SHINGLES by a hash, and each pair
     of its blocks is a task's work. Texts are dealt, which take less room than
-    their sets.
+    their sets; of rows with one id and text, one is taken.
     """
     sizes = groups.groupBy("component").agg(
         F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own")
-    members = staged(groups.join(sizes, "component").select("component", "doc_id", "blocks", own), "members")
-    texts = members.join(_only(docs, members), "doc_id")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
+    row = ["doc_id", "text_hash"]
+    members = groups.join(sizes, "component").select("component", "node", *row, "blocks", own)
+    members = staged(_keys(members), "members")
+    wanted = _only(docs.select(*row, "text", F.xxhash64(*row).alias("h")), members)
+    wanted = wanted.groupBy(*row).agg(F.any_value("text").alias("text"))
+    texts = members.join(wanted, _same_row())
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component",
         F.least("own", "other").alias("low"),
         F.greatest("own", "other").alias("high"),
-        "doc_id",
+        "node",
         (F.col("own") > F.col("other")).cast("int").alias("side"),
         "text",
     )
 
     def linked(members: pa.Table) -> pa.Table:
-        reps = members["doc_id"].to_numpy()
+        nodes = members["node"].to_numpy()
         sets = [s for b in members.select(["text"]).to_batches() for s in _sets_of(b)]
-        found = similar_in(reps, sets, members["side"].to_numpy()) if len(sets) > 1 else []
+        found = similar_in(nodes, sets, members["side"].to_numpy()) if len(sets) > 1 else []
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return pairs.groupBy("component", "low", "high").applyInArrow(linked, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _labelled(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_hash, n, and as ``head`` the first row of its component.
+
+    The first is that of the smallest doc_id, nulls last, then of the smallest
+    hash of its text. Rows without a set have no head. A class's number is
+    given when the classes are written.
+    """
+    docs = docs.select(
+        F.col("doc_id").cast("long"),
+        F.col("text").cast("string"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+    )
     found = staged(profiles(docs, count_sketch(docs)), "set-profiles")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash"))
     classes = (
         found.where("n > 0")
-        .groupBy("fp_a", "fp_b", "n")
-        .agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix"))
+        .groupBy(*SET)
+        .agg(first.alias("first"), F.any_value("prefix").alias("prefix"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
     classes = staged(classes, "set-classes")
-    large_enough = classes.where("rep IS NOT NULL AND n >= 4")  # smaller sets equal all they resemble
+    large_enough = classes.where("n >= 4")  # smaller sets equal all they resemble
     groups = components(related(keyed(large_enough, boundary(found))))
-    members = groups.join(classes.where("n >= 4"), F.col("node") == F.col("rep"))
-    members = members.select("component", F.col("rep").alias("doc_id"), "n")
+    members = groups.join(large_enough, "node")
+    members = members.select("component", "node", "first.doc_id", "first.text_hash", "n")
     linked = components(links_among(docs, members))
-    labels = classes.join(linked, classes.rep == linked.node, "left").select(
-        "fp_a", "fp_b", "n", F.coalesce("component", "rep").alias("component_id")
-    )
-    key = ["fp_a", "fp_b", "n"]
-    rows = found.select("doc_id", *key)
-    return (
-        rows.join(labels, key, "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.coalesce("component_id", "doc_id").alias("component_id"),
-        )
+    heads = linked.join(classes, "node").groupBy("component").agg(F.min("first").alias("head"))
+    named = linked.join(heads, "component").select("node", "head")
+    labels = classes.join(named, "node", "left").select(*SET, F.coalesce("head", "first").alias("head"))
+    return found.select("doc_id", "text_hash", *SET).join(labels, SET, "left")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
+    return _labelled(docs).select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("head.doc_id", "doc_id").alias("component_id"),
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row for each component: its smallest doc_id's; columns as they are.
+    """One row for each component: its first; columns as they are.
 
-    Of rows with one kept doc_id, one stays; rows without doc_id all stay. The
-    ids to drop, and those on several rows, are written first, so their true
-    size decides how they are joined.
+    Of rows with the same doc_id and text, one stays; rows that have neither a
+    set nor a doc_id all stay. The rows to drop, and those that are there
+    several times, are written first, so their true size decides how they are
+    joined.
     """
-    found = staged(near_duplicates(docs), "components").where("doc_id IS NOT NULL")
-    near = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
-    again = found.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
-    near, again = staged(near, "near-copies"), staged(again, "repeated-ids")
-    rows, same = docs.select(F.struct("*").alias("row")), F.col("row.doc_id") == F.col("id")
-    once = rows.join(near.unionByName(again), same, "left_anti")
-    repeated = rows.join(again.join(near, "id", "left_anti"), same).dropDuplicates(["id"])
-    return once.unionByName(repeated.select("row")).select("row.*")
+    row = ["doc_id", "text_hash"]
+    is_head = F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (
+        F.col("head.text_hash") == F.col("text_hash")
+    )
+    bare = F.col("head").isNull()
+    found = staged(_labelled(docs).select(*row, (bare | is_head).alias("stays"), bare.alias("bare")), "components")
+    near = staged(_keys(found.where("NOT stays").select(*row).distinct()), "near-copies")
+    several = found.where("stays AND NOT (bare AND doc_id IS NULL)").groupBy(*row).count()
+    again = staged(_keys(several.where("count > 1").select(*row)), "repeated-rows")
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+    )
+    once = rows.join(near.unionByName(again), _same_row(), "left_anti")
+    repeated = _only(rows.withColumn("h", F.xxhash64(*row)), again).drop("h").dropDuplicates(row)
+    repeated = repeated.join(again, _same_row(), "left_semi")
+    return once.unionByName(repeated).select("row.*")
 
 
 def op6_heavy_light_join(spark, sf_dir: str) -> DataFrame:
