@@ -7,6 +7,11 @@ guess: the cheapest way to cut it into common words, dates, repeats, keyboard
 walks and brute-force runs, found by dynamic programming, needs at least
 10**``MIN_COST`` guesses. Sentences ("the password is required") stay below.
 
+A word costs its rank: first a few that passwords are made of, then the
+``MOST_WORDS`` words that all documents use most, counted by Spark; what tasks
+receive of them has that bound. Letters of runs are cheap while the run can be
+pronounced, and cost an alphabet's guesses where consonants or vowels pile up.
+
 A regular-expression engine of linear time first finds the texts that can hold
 a span at all; only those are scanned in Python.
 
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 from math import log10
 
@@ -44,11 +50,9 @@ KEYWORD = (
     r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|credentials?|api[_ -]?key"
     r"|access[_ -]?key|private[_ -]?key|auth(?:orization)?|login|pin)"
 )
-CONTEXT = re.compile(
-    KEYWORD + r"""(?=["']?[ \t\r\n:=-][ \t\r\n:=>-]{0,4}(?:(?:is|was|are)[ \t\r\n:]{1,3})?"""
-    r"""["'`]?([^\s"'`<>,;]{6,}))""",
-    re.ASCII | re.IGNORECASE,
-)
+LEAD = r"""["']?[ \t\r\n:=-][ \t\r\n:=>-]*+(?:(?:is|was|are)[ \t\r\n:]{1,3})?["'`]?"""
+VALUE = r"""[^\s"'`<>,;]"""
+CONTEXT = re.compile(f"{KEYWORD}(?={LEAD}({VALUE}{{6,}}))", re.ASCII | re.IGNORECASE)
 #: Matches wherever one of the patterns can; a text without a match has no span.
 MAY_HOLD = (
     r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
@@ -56,6 +60,9 @@ MAY_HOLD = (
 )
 
 MIN_COST = 10.0
+MOST_WORDS = 30_000
+#: Words of the documents that are counted.
+WORD = "^[a-z]{3,16}$"
 # Words that passwords are often made of, most common first, and key rows.
 COMMON = (
     "password pass word admin root user login test guest welcome qwerty letmein master hello "
@@ -67,19 +74,20 @@ COMMON = (
     "false your enter here none required value string"
 ).split()
 RANK = {w: k + 1 for k, w in reversed(list(enumerate(COMMON)))}
-LONGEST = max(map(len, COMMON))
+LONGEST = 16
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 NEXT_KEY = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 NEXT_KEY |= {b + a for a, b in NEXT_KEY}
 LEET = str.maketrans("4301$57@!", "aeoisstai")
-DATE = re.compile(
-    r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])"
-    r"|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d",
-    re.ASCII,
-)
-DATE_COST, YEAR_COST = log10(120 * 365), log10(120)
-#: Guesses for one more character of a run: a letter of a pronounceable run, a digit, any sign.
-RUN_COST = {"a": log10(6), "A": log10(6), "0": 1.0, "*": log10(33)}
+DAY = r"(?:0[1-9]|[12]\d|3[01])"
+MONTH, YEAR, SIGN = r"(?:0[1-9]|1[0-2])", r"(?:19|20)\d\d", "[-/._]?"
+DATES = {
+    YEAR + SIGN + MONTH + SIGN + DAY: log10(120 * 365),
+    DAY + SIGN + MONTH + SIGN + YEAR: log10(120 * 365),
+    YEAR: log10(120),
+}
+#: Guesses for one more character of a run: a letter that can be pronounced, any other, a digit, any sign.
+SPOKEN, LETTER, DIGIT, OTHER = log10(6), log10(26), 1.0, log10(33)
 CUT_COST = 0.6
 LONGEST_UNIT = 16
 
@@ -88,39 +96,56 @@ def _class(c: str) -> str:
     return "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else "*"
 
 
-def guess_cost(value: str) -> float:
+def run_prices(value: str) -> list[float]:
+    """What each character costs in a run: a third vowel or consonant in a row is not pronounceable."""
+    prices, streak, before = [], 0, ""
+    for c in value:
+        kind = _class(c)
+        if kind in "aA" and c.isascii():
+            sound = "v" if c in "aeiouyAEIOUY" else "c"
+            streak = streak + 1 if sound == before else 1
+            before = sound
+            prices.append(SPOKEN if streak <= 2 else LETTER)
+        else:
+            before = ""
+            prices.append(SPOKEN if kind in "aA" else DIGIT if kind == "0" else OTHER)
+    return prices
+
+
+def guess_cost(value: str, rank: dict[str, int] = RANK) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` needs.
 
-    Costs of segments add, and each further segment costs ``CUT_COST``. The
-    time is linear in the length: words and units of repeats are short, and
-    runs and walks are carried from one character to the next.
+    Costs of segments add, and each further segment costs ``CUT_COST``, but for
+    a repeat of what stands before it. The time is linear in the length: words
+    and units of repeats are short, and runs and walks are carried from one
+    character to the next.
     """
     low, n = value.lower(), len(value)
+    if len(low) != n:  # a few letters have longer small forms
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
     best = [0.0] + [float("inf")] * n
     dates: dict[int, list[tuple[int, float]]] = {}
-    for m in re.finditer(f"(?=({DATE.pattern}))", low, re.ASCII):
-        a, b = m.span(1)
-        dates.setdefault(b, []).append((a, YEAR_COST if b - a == 4 else DATE_COST))
-    run = {k: float("inf") for k in RUN_COST}
+    for pattern, price in DATES.items():
+        for m in re.finditer(f"(?=({pattern}))", low, re.ASCII):
+            dates.setdefault(m.end(1), []).append((m.start(1), price))
+    prices, before_kind, run = run_prices(value), "", float("inf")
     walk = float("inf")
     periods = [0] * (LONGEST_UNIT + 1)
     for j in range(1, n + 1):
         before = best[j - 1] + (CUT_COST if j > 1 else 0.0)
         kind = _class(value[j - 1])
-        run = {
-            k: min(run[k], before) + RUN_COST[k] if k == kind else float("inf") for k in RUN_COST
-        }
-        cost = run[kind]
+        run = min(run if kind == before_kind else float("inf"), before) + prices[j - 1]
+        before_kind, cost = kind, run
         steps = j > 1 and low[j - 2 : j] in NEXT_KEY
         walk = min(walk + 0.3 if steps else float("inf"), before + log10(47))
         cost = min(cost, walk)
         for size in range(2, min(LONGEST, j) + 1):
             a = j - size
-            spelt = low[a:j] if low[a:j] in RANK else plain[a:j]
-            if spelt in RANK:
+            spelt = low[a:j] if low[a:j] in rank else plain[a:j]
+            if spelt in rank:
                 changed = (value[a:j] != spelt) * log10(4)
-                cost = min(cost, best[a] + (CUT_COST if a else 0) + log10(RANK[spelt]) + changed)
+                cost = min(cost, best[a] + (CUT_COST if a else 0) + log10(rank[spelt]) + changed)
         for a, c in dates.get(j, ()):
             cost = min(cost, best[a] + (CUT_COST if a else 0) + c)
         for unit in range(1, min(LONGEST_UNIT, j - 1) + 1):
@@ -132,6 +157,25 @@ def guess_cost(value: str) -> float:
     return best[n] if n else 0.0
 
 
+def common_words(docs: DataFrame, most: int = MOST_WORDS) -> DataFrame:
+    """word, n: the ``most`` commonest words of letters a to z in all texts, most common first.
+
+    What stands in a credential context is not counted, or secrets would make themselves common.
+    """
+    text = F.translate(F.col("text").cast("string"), string.ascii_uppercase, string.ascii_lowercase)
+    text = F.regexp_replace(text, KEYWORD + LEAD, "\x01")
+    text = F.regexp_replace(text, f"\x01{VALUE}*+", " ")
+    each = docs.select(F.explode(F.split(text, r"[^\p{L}\p{N}]+")).alias("word"))
+    counts = each.where(F.col("word").rlike(WORD)).groupBy("word").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.col("n").desc(), "word").limit(most)
+
+
+def ranks(words: list[str]) -> dict[str, int]:
+    """Guesses for each word: the fixed ones come first, then ``words`` in their order."""
+    later = {w: len(COMMON) + k for k, w in enumerate(words, 1)}
+    return later | RANK
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """start, kind's place, end: leftmost non-overlapping matches of each kind that are long enough."""
     found = [
@@ -151,12 +195,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 LONG_HEX = re.compile(f"{HEX.pattern[:-1]}{{{LEAST['hex']},}}")
 
 
-def guess_spans(text: str, min_cost: float = MIN_COST) -> list[tuple[int, int, int]]:
+def guess_spans(
+    text: str, min_cost: float = MIN_COST, rank: dict[str, int] = RANK
+) -> list[tuple[int, int, int]]:
     """start, kind's place, end of values in credential contexts that are costly to guess."""
     found = set()
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".!?):]}")
-        if len(value) >= LEAST["assign"] and guess_cost(value) >= min_cost:
+        if len(value) >= LEAST["assign"] and guess_cost(value, rank) >= min_cost:
             found.add((m.start(1), 3, m.start(1) + len(value)))
     return sorted(found)
 
@@ -181,6 +227,9 @@ def secret_spans(docs: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
 
 
 def _scanned(docs: DataFrame, min_cost: float) -> DataFrame:
+    words = [r.word for r in common_words(docs).collect()]  # at most MOST_WORDS short words
+    shared = docs.sparkSession.sparkContext.broadcast(ranks(words))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string()).fill_null("")
@@ -188,7 +237,7 @@ def _scanned(docs: DataFrame, min_cost: float) -> DataFrame:
             out = []
             for maybe, text in zip(hits.to_pylist(), texts, strict=True):
                 spans = base_spans(text.as_py()) if maybe else []
-                more = guess_spans(text.as_py(), min_cost) if maybe else []
+                more = guess_spans(text.as_py(), min_cost, shared.value) if maybe else []
                 digest = hashlib.sha256(_joined(spans).encode()).hexdigest()
                 counts = [sum(k == kind for _, k, _ in spans) for kind in range(3)]
                 out.append((*counts, digest, _joined(sorted(spans + more))))
