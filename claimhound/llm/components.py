@@ -3,7 +3,8 @@
 Alternating large-star and small-star steps turn every component into a star
 around its smallest node. A step is two aggregations by node that combine
 before they shuffle and two joins that Spark can split where a node has many
-neighbours; each result is written to the shared folder, which cuts lineage.
+neighbours; each result is written to the shared folder, which cuts lineage, and
+the one before it is removed.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimhound.llm.staging import staged
+from claimhound.llm.staging import new_path, staged, written
+from claimhound.sources.shared import remove_folder
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -35,17 +37,20 @@ def components(links: DataFrame) -> DataFrame:
 
     Nodes are longs; links of a node with itself and null links are left out.
     """
-    now = staged(
-        links.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(),
-        "links",
-    )
+    spark = links.sparkSession
+    links = links.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    path = new_path(spark, "links")
+    now = written(links.distinct(), path)
     before = None
     while True:
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.max("b")).first()
         if state == before:
             break
-        before = state
-        now = staged(_small_star(_large_star(now)), "links")
+        before, last, path = state, path, new_path(spark, "links")
+        now = written(_small_star(_large_star(now)), path)
+        remove_folder(spark, last)
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     centres = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return leaves.unionByName(centres)
+    found = staged(leaves.unionByName(centres), "components")
+    remove_folder(spark, path)
+    return found

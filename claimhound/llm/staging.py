@@ -7,9 +7,15 @@ executors would have nowhere to share a table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
-from claimhound.sources.shared import new_folder
+from claimhound.sources.shared import new_folder, remove_folder
+
+#: Folders of tables staged in each step that has begun, the innermost last.
+_steps: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -19,11 +25,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, path: str, **options) -> DataFrame:
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def staged(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back."""
     path = new_path(df.sparkSession, name)
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _steps:
+        _steps[-1].append(path)
+    return written(df, path, **options)
+
+
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end: what needs them must be written by then."""
+    _steps.append([])
+    try:
+        yield
+    finally:
+        for path in _steps.pop():
+            remove_folder(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
