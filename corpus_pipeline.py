@@ -3,6 +3,14 @@
 Each stage is (spark, docs, sf_dir) -> DataFrame over all that its predecessor
 kept. ``run`` writes each stage's result to the shared folder and reads it back
 as the next one's ``docs``; all but the last keep the columns of ``documents``.
+When a stage's result is written, what was staged for it is removed, and so is
+the result before it.
+
+Cases: null and empty texts pass the filters and are one end token each; rows
+without doc_id are treated by their text as all others (they are no labelled
+rows); of repeated rows one stays; rows of one doc_id with different texts stay
+apart; texts of any length are read whole; an empty table gives an empty result;
+extra columns, however they are named, are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -12,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from claimhound.llm.decontamination import without_overlaps
 from claimhound.llm.jaccard import one_of_each
 from claimhound.llm.mixing import poisson_mix
-from claimhound.llm.staging import staged, table
+from claimhound.llm.staging import new_path, step, table, written
 from claimhound.llm.token_files import wavelet_tokens
 from claimhound.llm.toxicity import toxicity_model, without_toxic
+from claimhound.sources.shared import remove_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"corpus-{name}")
+        path = new_path(spark, f"corpus-{name}")
+        with step(spark):
+            docs = written(stage(spark, docs, sf_dir), path)
+        if last:
+            remove_folder(spark, last)
+        last = path
     return docs
