@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimhound.llm.staging import table
+from claimhound.llm.staging import staged, table
 
 # The three base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -161,13 +161,23 @@ def common_words(docs: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     """word, n: the ``most`` commonest words of letters a to z in all texts, most common first.
 
     What stands in a credential context is not counted, or secrets would make themselves common.
+    Counts are written; how many words have counts of each length in bits says which counts are
+    too low for the top, so that few words are sorted.
     """
     text = F.translate(F.col("text").cast("string"), string.ascii_uppercase, string.ascii_lowercase)
     text = F.regexp_replace(text, KEYWORD + LEAD, "\x01")
     text = F.regexp_replace(text, f"\x01{VALUE}*+", " ")
     each = docs.select(F.explode(F.split(text, r"[^\p{L}\p{N}]+")).alias("word"))
     counts = each.where(F.col("word").rlike(WORD)).groupBy("word").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.col("n").desc(), "word").limit(most)
+    counts = staged(counts, "word-counts")
+    bits = F.length(F.bin("n")).alias("bits")
+    words, least = 0, 1
+    for r in sorted(counts.groupBy(bits).agg(F.count("*").alias("words")).collect(), reverse=True):
+        words += r.words  # a row for each length, so 63 at most
+        if words >= most:
+            least = 1 << (r.bits - 1)
+            break
+    return counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "word").limit(most)
 
 
 def ranks(words: list[str]) -> dict[str, int]:
