@@ -16,6 +16,8 @@ import hashlib
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,9 @@ from claimhound.sources.derived import (
 )
 from claimhound.sources.schema import CLAIMS, REGISTRY
 
+#: Whether an execution's shuffle files go when it ends, and not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_dir: tempfile.TemporaryDirectory | None = None
 _landed: dict[tuple, str] = {}
 _landing = threading.Lock()
@@ -66,6 +71,20 @@ def _file_system(spark: SparkSession, path):
     return path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is done inside, as it was before at the end."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def source_state(spark: SparkSession, sf_dir: str) -> str:
     """A digest of path, length and modification time of every source file, at any depth."""
     digest = hashlib.sha256()
@@ -101,7 +120,8 @@ def _land(spark: SparkSession, sf_dir: str, name: str, derive) -> str | None:
     with _landing:
         if key not in _landed or not _exists(spark, f"{_landed[key]}/_SUCCESS"):
             path = new_folder(spark, name)
-            derive(spark, sf_dir).write.parquet(path)
+            with setting(spark, CLEANUP, "true"):
+                derive(spark, sf_dir).write.option("compression", "zstd").parquet(path)
             _landed[key] = path
         return _landed[key]
 

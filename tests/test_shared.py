@@ -106,3 +106,32 @@ def test_dropped_tables_are_landed_again(spark, sf_dir, monkeypatch, tmp_path):
     assert not list(tmp_path.iterdir())
     again = shared.claims_path(spark, sf_dir)
     assert again != first and spark.read.parquet(again).count() == 6000
+
+
+def shuffle_files(spark) -> int:
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().iterator()
+    found = 0
+    while files.hasNext():
+        found += files.next().getName().startswith("shuffle_")
+    return found
+
+
+def test_landing_keeps_no_shuffle_files_and_is_compressed_well(spark, copied):
+    before = shuffle_files(spark)
+    path = shared.claims_path(spark, copied)
+    assert shuffle_files(spark) <= before
+    assert all(".zstd." in f for f in spark.read.parquet(path).inputFiles())
+
+
+def test_a_setting_holds_inside_only(spark):
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    for before in ("3", None):
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+        was = spark.conf.get(key)
+        with pytest.raises(ValueError), shared.setting(spark, key, "9"):
+            assert spark.conf.get(key) == "9"
+            raise ValueError
+        assert spark.conf.get(key) == was
