@@ -12,7 +12,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimhound.sources.shared import new_folder, remove_folder
+from claimhound.sources.shared import CLEANUP, new_folder, remove_folder, setting
 
 #: Folders of tables staged in each step that has begun, the innermost last.
 _steps: list[list[str]] = []
@@ -26,7 +26,9 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, path: str, **options) -> DataFrame:
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    """``df`` written as Parquet to ``path`` and read back; what the write shuffled is removed."""
+    with setting(df.sparkSession, CLEANUP, "true"):
+        df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
