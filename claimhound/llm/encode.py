@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -30,8 +31,10 @@ BYTE_BPE = "byte_bpe_50k.json"
 BY_PIECE = frozenset({WORD_BPE, BYTE_BPE})
 KEEP_SPACE = frozenset({BYTE_BPE})
 TEXTS_A_CALL = 4096
-#: Pieces in each of the two generations that a worker remembers (about 170 bytes each).
-MOST_KEPT_PIECES = 350_000
+#: Pieces that a worker remembers at most (32 bytes each, and 4 for each of as many ids four times).
+MOST_KEPT_PIECES = 1 << 20
+#: Longer pieces are not remembered.
+KEY_BYTES = 15
 
 SPACE, LETTER, DIGIT, MARK, WHOLE = range(5)
 
@@ -64,6 +67,9 @@ def _byte_names() -> dict[int, str]:
 BYTE_NAMES = _byte_names()
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+#: The bytes of a piece of each length among eight that are read from its first and from its ninth.
+LOW_MASKS = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(KEY_BYTES + 1)], dtype=np.uint64)
+HIGH_MASKS = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(KEY_BYTES + 1)], dtype=np.uint64)
 
 
 @lru_cache(maxsize=4)
@@ -75,26 +81,55 @@ def _tokenizer(path: str):
 
 
 class _Kept:
-    """Ids of the pieces seen so far, one after another in one array."""
-
-    def __init__(self) -> None:
-        self.places: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.starts = np.zeros((1 << 14) + 1, dtype=np.int64)
-
-    def add(self, pieces: list[str], each: list[list[int]]) -> None:
-        n = len(self.places)
-        lengths = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-        ends = self.starts[n] + np.cumsum(lengths)
-        self.starts = _grown(self.starts, n + 1 + len(each))
+    """Ids of pieces seen before, in arrays of fixed size that are searched for many pieces at once.
+
+    A piece of at most KEY_BYTES bytes is its own key: these bytes and its length. A
+    key has one slot, which the last piece met for it takes. The ids of all are
+    one after another in one array; all are forgotten when that is full.
+    """
+
+    def __init__(self, most: int) -> None:
+        bits = max(1, (most - 1).bit_length())
+        self.shift, self.most_ids = np.uint64(64 - bits), 4 * most
+        self.low, self.high = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.uint64)
+        self.starts, self.counts = np.zeros(1 << bits, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64)
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+
+    def make_room(self) -> None:
+        if self.used > self.most_ids:
+            self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+            self.low[:] = self.high[:] = 0
+
+    def find(self, keys: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The slot of each key, where its ids start and how many they are; -1 if it is not known."""
+        low, high = keys
+        h = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F))
+        h ^= h >> np.uint64(29)
+        slots = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> self.shift).astype(np.int64)
+        known = (self.high[slots] == high) & (self.low[slots] == low) & (high > 0)
+        return slots, self.starts[slots], np.where(known, self.counts[slots], -1)
+
+    def add(self, each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each new piece start and how many they are."""
+        counts = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        ends = self.used + np.cumsum(counts)
         self.flat = _grown(self.flat, int(ends[-1]))
-        self.flat[self.starts[n] : ends[-1]] = [i for ids in each for i in ids]
-        self.starts[n + 1 : n + 1 + len(each)] = ends
-        self.places.update(zip(pieces, range(n, n + len(each)), strict=True))
+        self.flat[self.used : ends[-1]] = np.fromiter(chain.from_iterable(each), np.uint32, int(ends[-1]) - self.used)
+        self.used = int(ends[-1])
+        return ends - counts, counts
 
-    def ids(self, places: list[int]) -> list[list[int]]:
-        starts, flat = self.starts, self.flat
-        return [flat[starts[k] : starts[k + 1]].tolist() for k in places]
+    def keep(self, slots: np.ndarray, keys: tuple[np.ndarray, np.ndarray], starts: np.ndarray, counts: np.ndarray) -> None:
+        self.low[slots], self.high[slots] = keys
+        self.starts[slots], self.counts[slots] = starts, counts
+
+
+def _keys(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each piece: its bytes and, in the last one, its length; zeros if it is too long."""
+    padded = np.concatenate((flat, np.zeros(16, dtype=np.uint8)))
+    words = np.ndarray(len(flat) + 9, dtype="<u8", buffer=padded, strides=(1,))
+    at, n = bounds[:-1], np.diff(bounds)
+    n = np.where(n <= KEY_BYTES, n, 0)
+    return words[at] & LOW_MASKS[n], words[at + 8] & HIGH_MASKS[n] | n.astype(np.uint64) << np.uint64(56)
 
 
 def _grown(a: np.ndarray, size: int) -> np.ndarray:
@@ -115,7 +150,7 @@ class Encoder:
         self.tokenizer = _tokenizer(path)
         self.by_piece = name in BY_PIECE if by_piece is None else by_piece
         self.keep_space = name in KEEP_SPACE
-        self.kept, self.older = _Kept(), _Kept()
+        self.kept = _Kept(MOST_KEPT_PIECES)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         out = []
@@ -144,22 +179,21 @@ class Encoder:
             return "\u0120" + letters if piece[0] == " " else piece
         return piece.encode().decode("latin-1").translate(BYTE_NAMES) if max(piece) <= "\xff" else None
 
-    def _places(self, pieces: list[str]) -> np.ndarray:
-        """Where the kept generation has each piece. A full one becomes the older,
-
-        from which pieces that are still met move on; the rest of it goes with the next.
-        """
-        new = [p for p in pieces if p not in self.kept.places]
-        if new and self.kept.places and len(self.kept.places) + len(new) > MOST_KEPT_PIECES:
-            self.kept, self.older, new = _Kept(), self.kept, pieces
-        if new:
-            older = self.older.places
-            known = [p for p in new if p in older]
-            if known:
-                self.kept.add(known, self.older.ids([older[p] for p in known]))
-                new = [p for p in new if p not in older]
-            self.kept.add(new, self._pieces(new))
-        return np.fromiter(map(self.kept.places.__getitem__, pieces), np.int64, len(pieces))
+    def _found(self, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece start in what is kept, and how many they are."""
+        self.kept.make_room()
+        keys = _keys(flat, bounds)
+        slots, starts, counts = self.kept.find(keys)
+        new = np.flatnonzero(counts < 0)
+        if len(new):
+            every = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(flat))
+            coded = every.take(pa.array(new)).dictionary_encode()
+            which = coded.indices.to_numpy()
+            begins, n = self.kept.add(self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+            starts[new], counts[new] = begins[which], n[which]
+            new = new[keys[1][new] > 0]
+            self.kept.keep(slots[new], (keys[0][new], keys[1][new]), starts[new], counts[new])
+        return starts, counts
 
     def _split(self, data: np.ndarray, kind: np.ndarray, solid: np.ndarray) -> np.ndarray:
         """Whether a piece may begin at each byte, whatever the texts' bounds."""
@@ -196,12 +230,7 @@ class Encoder:
             at = np.flatnonzero(split)
             inner = np.concatenate(([0], np.cumsum(solid, dtype=np.int32)))
             bounds, flat = np.append(inner[at], inner[-1]).astype(np.int32), LOWER[data[solid]]
-        coded = pa.StringArray.from_buffers(
-            len(at), pa.py_buffer(bounds), pa.py_buffer(flat)
-        ).dictionary_encode()
-        places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        starts = self.kept.starts[places]
-        n = self.kept.starts[places + 1] - starts
+        starts, n = self._found(flat, bounds)
         ends = np.concatenate(([0], np.cumsum(n)))
         ids = self.kept.flat[np.repeat(starts - ends[:-1], n) + np.arange(ends[-1])]
         return ids, np.diff(ends[np.searchsorted(at, offsets)])

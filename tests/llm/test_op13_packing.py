@@ -170,3 +170,15 @@ def test_the_windows_are_counted_within_their_part(spark):
     for r in packing.windows(df).collect():
         seen[r.part, r.length].append(r.number)
     assert all(sorted(v) == list(range(len(v))) for v in seen.values()) and len({p for p, _ in seen}) == 3
+
+
+def test_what_is_kept_of_pieces_has_a_fixed_size(monkeypatch):
+    monkeypatch.setattr(encode, "MOST_KEPT_PIECES", 1 << 10)
+    encoder = encode.Encoder(encode.BYTE_BPE)
+    texts = [f" w{'abcdefghij'[k % 10] * (k % 17)}{chr(97 + k % 26)}" for k in range(400)] + ["a", "a\x00", "a\x00\x00", "b" * 15, "b" * 16]
+    for k in range(40):
+        more = texts + [f"{k} {chr(97 + j % 26)}{chr(97 + j // 26)}{chr(97 + k % 26)}" for j in range(600)]
+        ids, n = encoder.encode(pa.array(more))
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in more]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert len(encoder.kept.low) == 1 << 10 and len(encoder.kept.flat) <= 1 << 16
