@@ -341,16 +341,27 @@ def similar_in(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> l
     return links
 
 
-def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose ``h`` a filter of fixed size over that of ``keys`` lets through, so that few are shuffled."""
+def _dealt(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``h`` a filter of fixed size over that of ``keys`` lets through, and the others.
+
+    Only the first may have a key, so they alone need a shuffle to find it.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(bloom_filter(keys, "h"))
 
-    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column("h").to_numpy().view(np.uint64)
-            yield batch.take(pa.array(may_hold(shared.value, h)))
+    def passed(others: bool):
+        def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = batch.column("h").to_numpy().view(np.uint64)
+                at = may_hold(shared.value, h)
+                yield batch.take(pa.array(np.delete(np.arange(len(h)), at) if others else at))
+
+        return rows_of
 
-    return rows.mapInArrow(passed, rows.schema)
+    return rows.mapInArrow(passed(False), rows.schema), rows.mapInArrow(passed(True), rows.schema)
+
+
+def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return _dealt(rows, keys)[0]
 
 
 def _keys(rows: DataFrame) -> DataFrame:
@@ -359,6 +370,11 @@ def _keys(rows: DataFrame) -> DataFrame:
     return rows.withColumn("h", h).withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
 
 
+def _without_null() -> list[Column]:
+    """The keys of ``_keys`` as columns that are equal for equal rows and never null."""
+    return [F.isnull("id").alias("none"), F.coalesce("id", F.lit(0)).alias("known_id"), F.col("hash")]
+
+
 def _same_row() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
 
@@ -378,8 +394,11 @@ def links_among(docs: DataFrame, groups: DataFrame) -> DataFrame:
     members = groups.join(sizes, "component").select("component", "node", *row, "blocks", own)
     members = staged(_keys(members), "members")
     wanted = _only(docs.select(*row, "text", F.xxhash64(*row).alias("h")), members)
-    wanted = wanted.groupBy(*row).agg(F.any_value("text").alias("text"))
-    texts = members.join(wanted, _same_row())
+    # grouped by the keys they are joined by, none of them null, so texts are dealt once for both
+    wanted = wanted.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
+    wanted = wanted.groupBy(*_without_null()).agg(F.any_value("text").alias("text"))
+    members = members.select("component", "node", "blocks", "own", *_without_null())
+    texts = members.join(wanted, ["none", "known_id", "hash"])
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component",
         F.least("own", "other").alias("low"),
@@ -446,7 +465,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of rows with the same doc_id and text, one stays; rows that have neither a
     set nor a doc_id all stay. The rows to drop, and those that are there
     several times, are written first, so their true size decides how they are
-    joined.
+    joined; rows that are surely neither take no part in that.
     """
     row = ["doc_id", "text_hash"]
     is_head = F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (
@@ -461,9 +480,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         F.struct("*").alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
-    )
-    once = rows.join(near.unionByName(again), _same_row(), "left_anti")
-    repeated = _only(rows.withColumn("h", F.xxhash64(*row)), again).drop("h").dropDuplicates(row)
+    ).withColumn("h", F.xxhash64(*row))
+    marked = near.unionByName(again)
+    perhaps, apart = (r.drop("h") for r in _dealt(rows, marked))
+    once = apart.unionByName(perhaps.join(marked, _same_row(), "left_anti"))
+    repeated = _only(rows, again).drop("h").dropDuplicates(row)
     repeated = repeated.join(again, _same_row(), "left_semi")
     return once.unionByName(repeated).select("row.*")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from claimhound.llm import jaccard
 from claimhound.llm.components import components
 from claimhound.llm.jaccard import near_duplicates, one_of_each, op6_heavy_light_join, similar_in
+from claimhound.sources.shared import setting
 
 DOC = "doc_id long, text string, row string, id int"
 LOWER = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
@@ -168,3 +169,20 @@ def test_unrelated_sets_of_a_full_block_take_seconds():
     start = time.perf_counter()
     assert len(similar_in(np.arange(len(sets)), sets, np.zeros(len(sets), int))) == 2
     assert time.perf_counter() - start < 30
+
+
+def test_rows_that_surely_have_no_key_are_not_dealt(spark):
+    rows = spark.range(5000).selectExpr("id", "hash(id) AS other", "xxhash64(id) AS h")
+    perhaps, apart = jaccard._dealt(rows, rows.where("id % 100 = 0"))
+    held, others = ({r.id for r in part.collect()} for part in (perhaps, apart))
+    assert not held & others and held | others == set(range(5000))
+    assert set(range(0, 5000, 100)) <= held and len(held) < 100
+
+
+def test_texts_are_dealt_once_to_be_found(spark):
+    docs = frame(spark, [(1, "a b c d e f g"), (2, "a b c d e f h"), (None, "p q r s t u v"), (2, "a b c d e f h")])
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    groups = docs.distinct().selectExpr("0L AS component", "xxhash64(doc_id, text) AS node", "doc_id", "text_hash", "3L AS n")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"), setting(spark, "spark.sql.adaptive.enabled", "false"):
+        plan = jaccard.links_among(docs, groups)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3  # members, texts, and both together by their group
