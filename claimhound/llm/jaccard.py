@@ -9,10 +9,15 @@ of which similar sets share one, and larger sets are looked up in the inverted
 lists of single elements. The boundary is the size at which both together are
 cheapest, from the costs of all sets.
 
-Lists and subsets only say who may be similar to whom. Sets connected by them
+Lists and subsets only say who may be similar to whom. The more texts there are,
+the more of them share a key by chance, until such links connect nearly all. So
+the pairs of a key that few sets have are compared by parity bits of their
+shingles, which surely differ little where the sets are similar; the many sets
+of another key are linked as they are. Sets connected by what is left
 are dealt to tasks in pairs of blocks, and a task finds all its similar pairs by
 scanning inverted lists of the blocks' shingles, so every pair with a common key
-is compared exactly, no pair is a row, and no task holds more than two blocks.
+is compared, exactly unless its bits tell it apart, no pair of many is a row, and
+no task holds more than two blocks.
 What a task returns is a spanning forest of its links.
 
 Cases: a null or empty text, or one of white space, has no set and is linked with
@@ -47,6 +52,10 @@ SKETCH_BLOCKS = 64
 SKETCH_GROUPS = 64
 #: The boundary between small and large sets is sought up to here.
 MOST_SMALL = 64
+#: Up to so many sets of a key are compared in pairs by their bits before they are grouped.
+FEW = 16
+#: Least number of parity bits of a set.
+LEAST_BITS = 64
 #: Shingles of all sets of a block, about; a task holds at most two blocks.
 BLOCK_SHINGLES = 1 << 21
 
@@ -61,6 +70,40 @@ def _overlap_with_larger(n: np.ndarray) -> np.ndarray:
     return -(-2 * PERCENT * n // (100 + PERCENT))
 
 
+def _difference(n: np.ndarray) -> np.ndarray:
+    """Most elements that are in one only of two similar sets with ``n`` elements together."""
+    return n - 2 * -(-PERCENT * n // (100 + PERCENT))
+
+
+def parity_bits(found: np.ndarray) -> bytes:
+    """For each value of some bits of the shingles' hashes, whether an odd number has it.
+
+    There are as many bits as elements or more, a power of two. Each element
+    that two sets do not share changes one bit, so bits differ in no more places.
+    """
+    size = max(LEAST_BITS, 1 << (len(found) - 1).bit_length())
+    at = (found >> np.uint64(24)) & np.uint64(size - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def bits_apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many places the parity bits of each pair differ, as far as the shorter ones tell."""
+    apart = np.zeros(len(a), dtype=np.int64)
+    lengths = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for two in np.unique(lengths, axis=0):
+        rows = np.flatnonzero((lengths == two).all(axis=1))
+        for some in np.array_split(rows, 1 + len(rows) * int(two.max()) // (1 << 24)):
+            short, long = sorted(
+                (np.frombuffer(b"".join(side[i] for i in some), dtype=np.uint8).reshape(len(some), -1) for side in (a, b)),
+                key=lambda x: x.shape[1],
+            )
+            while long.shape[1] > short.shape[1]:
+                half = long.shape[1] // 2
+                long = long[:, :half] ^ long[:, half:]
+            apart[some] = np.bitwise_count(long ^ short).sum(axis=1, dtype=np.int64)
+    return apart
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """The sorted set of each text."""
     words, first = word_hashes(data, offsets)
@@ -143,11 +186,11 @@ def count_sketch(docs: DataFrame) -> np.ndarray:
 
 #: What tells sets apart.
 SET = ["fp_a", "fp_b", "n"]
-PROFILE = "doc_id long, text_hash long, n long, fp_a long, fp_b long, listed long, prefix binary"
+PROFILE = "doc_id long, text_hash long, n long, fp_a long, fp_b long, listed long, prefix binary, bits binary"
 
 
 def profiles(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """Per row: size, fingerprint and prefix of its set, and how often the prefix is listed."""
+    """Per row: size, fingerprint, prefix and parity bits of its set, and how often the prefix is listed."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     usual = int(np.median(sketch))
 
@@ -157,7 +200,7 @@ def profiles(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             for found in _sets_of(batch):
                 n = len(found)
                 if not n:
-                    out.append((0, None, None, 0, None))
+                    out.append((0, None, None, 0, None, None))
                     continue
                 often = shared.value[_counter(found)]
                 size = int(n - _overlap(n) + 2)
@@ -167,16 +210,15 @@ def profiles(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 fp_b = mixed(found ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
                 fp_a = found.sum(dtype=np.uint64)
                 listed = int(np.maximum(often[at[: size - 1]] - usual, 1).sum())
-                out.append(
-                    (n, *np.array([fp_a, fp_b]).view(np.int64).tolist(), listed, found[at].tobytes())
-                )
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int64()] * 4 + [pa.binary()]
+                fps = np.array([fp_a, fp_b]).view(np.int64).tolist()
+                out.append((n, *fps, listed, found[at].tobytes(), parity_bits(found)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 2
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             own = [batch.column("doc_id"), batch.column("text_hash")]
             yield pa.RecordBatch.from_arrays([*own, *arrays], names=names)
 
-    names = ["doc_id", "text_hash", "n", "fp_a", "fp_b", "listed", "prefix"]
+    names = ["doc_id", "text_hash", "n", "fp_a", "fp_b", "listed", "prefix", "bits"]
     return docs.mapInArrow(rows, PROFILE)
 
 
@@ -240,38 +282,95 @@ def keyed(classes: DataFrame, small: int) -> DataFrame:
     )
 
 
-def related(entries: DataFrame) -> DataFrame:
+def related(entries: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: links that connect all sets of one key that may be similar.
 
-    A key's sets are read in order of size and never held, whatever their
-    number. Each is linked to the last set before it that has the key in its
+    A key's sets are read in order of size and never held, if they are more than
+    FEW. Each is linked to the last set before it that has the key in its
     short prefix, unless that is too small; between that one and any earlier
-    candidate, the same links make a chain.
+    candidate, the same links make a chain. Of a key with FEW sets or less, each
+    is paired with all such sets before it, and pairs whose bits differ in more
+    places than similar sets can are left out.
     """
+    few = FEW
+
+    def chain(key, n, node, short, rows):
+        """Links of the ``rows``, to sets that may be before them."""
+        at = np.arange(len(key))
+        last = np.maximum.accumulate(np.where(short > 0, at, -1))
+        before = np.concatenate(([-1], last[:-1]))[rows]
+        ok = before >= 0
+        before, rows = before[ok], rows[ok]
+        ok = (key[before] == key[rows]) & (PERCENT * n[rows] <= 100 * n[before]) & (node[before] != node[rows])
+        return node[before[ok]], node[rows[ok]]
+
+    def pairs(key, n, node, short, rows):
+        """Pairs among the ``rows``, all sets of their keys."""
+        key, n, node, short = key[rows], n[rows], node[rows], short[rows]
+        a, b = [node[:0]], [node[:0]]
+        for lag in range(1, few):
+            low, high = slice(0, max(0, len(key) - lag)), slice(lag, None)
+            same = key[low] == key[high]
+            if not same.any():
+                break
+            ok = same & (short[low] > 0) & (PERCENT * n[high] <= 100 * n[low]) & (node[low] != node[high])
+            a.append(node[low][ok])
+            b.append(node[high][ok])
+        return np.concatenate(a), np.concatenate(b)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, dtype=np.int64)] * 4
-        for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("key", "n", "node", "short")]
-            key, n, node, short = (np.concatenate(x) for x in zip(kept, columns, strict=True))
-            if not len(key):
-                continue
+        many = None  # the last key, if it is known to have more than FEW sets: one row of it is kept at most
+
+        def links(columns, end: bool) -> pa.RecordBatch:
+            nonlocal kept, many
+            key, n, node, short = columns
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(first, len(key)))
+            long = size > few
+            if many is not None and key[0] == many:
+                long[0] = True
+            of = np.repeat(np.arange(len(first)), size)
+            open_ = first[-1] if not (end or long[-1]) else len(key)  # the last key may go on
             at = np.arange(len(key))
-            last = np.maximum.accumulate(np.where(short > 0, at, -1))
-            before = np.concatenate(([-1], last[:-1]))
-            start = len(kept[0])  # the row kept from the batch before had its link there
-            ok = (before >= 0) & (at >= start)
-            ok &= (key[before] == key) & (PERCENT * n <= 100 * n[before]) & (node[before] != node)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[before[ok]]), pa.array(node[ok])], names=["a", "b"]
+            start = len(kept[0]) if many is not None and key[0] == many else 0  # kept rows of it had their link
+            a, b = chain(*columns, at[long[of] & (at >= start)])
+            c, d = pairs(*columns, at[~long[of] & (size[of] > 1) & (at < open_)])
+            if end:
+                kept, many = [x[:0] for x in columns], None
+            elif long[-1]:
+                held = first[-1] + np.flatnonzero(short[first[-1] :] > 0)[-1:]
+                kept, many = [x[held] for x in columns], key[-1]
+            else:
+                kept, many = [x[open_:] for x in columns], None
+            x, y = np.concatenate((a, c)), np.concatenate((b, d))
+            doubt = np.repeat(np.array([0, 1], dtype=np.int8), [len(a), len(c)])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(doubt)], names=["a", "b", "doubt"]
             )
-            held = slice(last[-1], last[-1] + 1) if last[-1] >= 0 else slice(0, 0)
-            kept = [x[held] for x in (key, n, node, short)]
+
+        for batch in batches:
+            if batch.num_rows:
+                columns = [batch.column(c).to_numpy() for c in ("key", "n", "node", "short")]
+                yield links([np.concatenate(x) for x in zip(kept, columns, strict=True)], False)
+        if len(kept[0]) and many is None:
+            yield links(kept, True)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, doubt = (batch.column(c).to_numpy() for c in ("n", "doubt"))
+            apart = bits_apart(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())
+            ok = pa.array((doubt == 0) | (apart <= _difference(n)))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
 
     order = ["key", "n", "node"]
     dealt = entries.repartition("key").sortWithinPartitions(*order)
-    found = dealt.mapInArrow(rows, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = dealt.mapInArrow(rows, "a long, b long, doubt byte").groupBy("a", "b").agg(F.min("doubt").alias("doubt"))
+    for side in ("a", "b"):
+        own = classes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+        found = found.join(own, side)
+    found = found.select("a", "b", "doubt", (F.col("n_a") + F.col("n_b")).alias("n"), "bits_a", "bits_b")
+    return found.mapInArrow(near, "a long, b long")
 
 
 def similar_in(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
@@ -435,12 +534,12 @@ def _labelled(docs: DataFrame) -> DataFrame:
     classes = (
         found.where("n > 0")
         .groupBy(*SET)
-        .agg(first.alias("first"), F.any_value("prefix").alias("prefix"))
+        .agg(first.alias("first"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     classes = staged(classes, "set-classes")
     large_enough = classes.where("n >= 4")  # smaller sets equal all they resemble
-    groups = components(related(keyed(large_enough, boundary(found))))
+    groups = components(related(keyed(large_enough, boundary(found)), large_enough))
     members = groups.join(large_enough, "node")
     members = members.select("component", "node", "first.doc_id", "first.text_hash", "n")
     linked = components(links_among(docs, members))

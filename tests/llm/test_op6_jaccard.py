@@ -186,3 +186,45 @@ def test_texts_are_dealt_once_to_be_found(spark):
     with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"), setting(spark, "spark.sql.adaptive.enabled", "false"):
         plan = jaccard.links_among(docs, groups)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 3  # members, texts, and both together by their group
+
+
+@pytest.mark.parametrize("few, batch", [(2, 1), (3, 7), (16, 5), (16, 10_000)])
+def test_few_and_many_sets_of_a_key_over_batches(spark, monkeypatch, few, batch):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    docs = near_copies(7, 120)
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(batch)):
+        assert found(frame(spark, docs)) == brute(docs)
+
+
+def test_unlike_texts_that_share_keys_are_not_grouped(spark, monkeypatch):
+    grouped = []
+
+    def links_among(docs, groups):
+        grouped.extend(groups.collect())
+        return whole(docs, groups)
+
+    whole = jaccard.links_among
+    monkeypatch.setattr(jaccard, "links_among", links_among)
+    docs = [(k, " ".join([f"s{k}w{j}" for j in range(8)] + [f"u{k}w{j}" for j in range(40)] + [f"s{k + 1}w{j}" for j in range(8)])) for k in range(60)]
+    docs += [(60, docs[7][1] + " end")]
+    assert found(frame(spark, docs)) == brute(docs)
+    assert {r.doc_id for r in grouped} == {7, 60}  # all 61 before
+
+
+def test_bits_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(8)
+    pairs = []
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 400)).astype(np.uint64))
+        b = np.unique(np.append(a[rng.random(len(a)) < rng.random()], rng.integers(0, 1 << 62, rng.integers(0, 150)).astype(np.uint64)))
+        pairs += [(a, b)] if len(b) else []
+    apart = jaccard.bits_apart(*([jaccard.parity_bits(x) for x in side] for side in zip(*pairs, strict=True)))
+    one_only = np.array([len(np.setxor1d(a, b)) for a, b in pairs])
+    assert (apart <= one_only).all()
+    alike = [jaccard.similar_in(np.arange(2), [a, b], np.zeros(2, int)) != [] for a, b in pairs]
+    most = jaccard._difference(np.array([len(a) + len(b) for a, b in pairs]))
+    assert any(alike) and (one_only[alike] <= most[alike]).all()
+    assert len(jaccard.bits_apart([], [])) == 0
+    for n in (4, 20, 64, 300, 1025, 20_000):
+        a, b = ([jaccard.parity_bits(rng.integers(0, 1 << 62, n).astype(np.uint64)) for _ in range(20)] for _ in range(2))
+        assert (jaccard.bits_apart(a, b) > jaccard._difference(np.array([2 * n]))).all()  # unlike sets
