@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from claimhound.functions.grouping import asc, desc
 from claimhound.functions.measures import dec, per
-from claimhound.sources.shared import load_claims, remove_folder
+from claimhound.sources.shared import load_claims, remove_folder, setting
 from claimhound.streaming.arrivals import ARRIVALS, arrivals, folder, replay, with_time
 
 #: What tells a claim apart: a number may be given again to a claim of another date.
@@ -18,6 +20,17 @@ DAY = ["Provider_ID", "Provider_Name", "Specialty"]
 WITHIN = "400 days"
 #: Beyond any claim; closes every day before it.
 LAST_DAY = "2999-01-01"
+_STORE = "spark.sql.streaming.stateStore"
+#: State is kept on the executors' disks, in memory of fixed size, whatever a year holds.
+#: Of its versions the last two are kept, of which a restart needs one.
+STATE = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}.rocksdb.trackTotalNumberOfRows": "false",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "false",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+}
 
 
 def arrival_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -63,14 +76,17 @@ def provider_days(stream: DataFrame, delay: str = WITHIN) -> DataFrame:
 
 def append_to(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Run over the available input; the sink's log and the checkpoint give each row once."""
-    return (
+    query = (
         stream.writeStream.format("parquet")
         .option("path", sink)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
-        .start()
     )
+    with ExitStack() as settings:  # a query keeps those it is started with
+        for key, value in STATE.items():
+            settings.enter_context(setting(stream.sparkSession, key, value))
+        return query.start()
 
 
 def late_rows(query: StreamingQuery) -> int:
@@ -85,7 +101,7 @@ def deduplicated_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed, sink, log = (folder(spark, n) for n in ("arrivals", "first-submissions", "dedup-log"))
 
     def run() -> None:
-        kept = first_submissions(arrival_stream(spark, feed))
+        kept = first_submissions(arrival_stream(spark, feed).select("Submitted", *CLAIM))
         append_to(kept.select(*CLAIM), sink, log).awaitTermination()
 
     replay(arrivals(load_claims(spark, sf_dir)), feed, run)

@@ -20,7 +20,7 @@ from claimhound.sources.shared import claims_path, load_claims, load_registry
 from claimhound.streaming import replays
 from claimhound.streaming.arrivals import with_time
 from claimhound.streaming.scoring import claims_stream
-from claimhound.streaming.state import append_to, arrival_stream, first_submissions, late_rows, most_crowded, provider_days
+from claimhound.streaming.state import STATE, append_to, arrival_stream, first_submissions, late_rows, most_crowded, provider_days
 
 D = dt.date
 
@@ -85,6 +85,34 @@ def test_days_close_behind_the_watermark_and_late_rows_are_counted(spark, tmp_pa
     assert [(r.Claim_Date, r.Claims_That_Day) for r in busy] == [(D(2022, 3, 1), 5)]
 
 
+def state_files(log):
+    return [os.path.join(d, f) for d, _, names in os.walk(f"{log}/state") for f in names if not f.startswith(".")]
+
+
+def test_state_is_kept_on_disk_and_old_versions_go(spark, tmp_path):
+    """State of all batches was held in the heap before, and files of a hundred batches stayed."""
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for name, make in (
+        ("claims", lambda s: first_submissions(s, "10 days").select("Claim_ID")),
+        ("days", lambda s: provider_days(s, "2 days").select("Provider_ID", "Claims_That_Day")),
+    ):
+        feed = Feed(spark, tmp_path / name, make)
+        for day in range(1, 9):  # a restart each
+            feed.add({"Claim_ID": 1, "on": f"2022-03-0{day}"}, {"Claim_ID": 10 + day, "on": f"2022-03-0{day}"})
+            assert feed.run() == 0
+        files = state_files(feed.log)
+        assert any(f.endswith(".zip") for f in files)  # RocksDB's
+        assert not any(f.endswith((".delta", ".snapshot")) for f in files)  # those of state in the heap
+        offsets = [int(f) for f in os.listdir(f"{feed.log}/offsets") if f.isdigit()]
+        assert len(offsets) < 8 <= max(offsets)
+        if name == "claims":
+            assert sorted(r.Claim_ID for r in feed.read("Claim_ID long")) == [1, *range(11, 19)]
+        else:
+            rows = feed.read("Provider_ID long, Claims_That_Day long")
+            assert [tuple(r) for r in rows] == [(1, 2)] * 5
+    assert {key: spark.conf.get(key, None) for key in STATE} == before
+
+
 def test_a_batch_that_failed_half_way_is_replaced(spark, sf_dir, tmp_path):
     registry, sink, log = load_registry(spark, sf_dir), str(tmp_path / "sink"), str(tmp_path / "log")
     failures = []
